@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import decontaminate, language_id, line_dedup, ngram_join, packing, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +19,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_pairs(_table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_toxicity": op3_toxicity,
+    "op4_decontamination": op4_decontamination,
+    "op7_packing": op7_packing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
@@ -39,16 +69,16 @@ lines AS (
 sets AS (
   SELECT words, len(words) AS n, min((doc_id, line_no)) AS first FROM lines WHERE len(words) >= 3 GROUP BY words),
 pairs AS (
-  SELECT a.words AS words, b.first AS other, len(list_intersect(a.words, b.words)) AS common, a.n + b.n AS both
+  SELECT a.words AS words, b.first AS other, len(list_intersect(a.words, b.words)) AS common, a.n + b.n AS total
   FROM sets a JOIN sets b ON a.first <> b.first AND b.n BETWEEN ceil(0.9 * a.n - 1e-9) AND floor(a.n / 0.9 + 1e-9) AND a.n + b.n > 18),
 near AS (
-  SELECT words, min((other, -common / (both - common))) AS best FROM pairs
-  WHERE common >= ceil(0.9 * (both - common) - 1e-9) GROUP BY words),
+  SELECT words, min((other, -common / (total - common))) AS best FROM pairs
+  WHERE common >= ceil(0.9 * (total - common) - 1e-9) GROUP BY words),
 matches AS (
   SELECT l.doc_id, l.line_no, s.first AS other, -1.0::DOUBLE AS minus FROM lines l JOIN sets s USING (words) WHERE s.first < (l.doc_id, l.line_no)
   UNION ALL
-  SELECT l.doc_id, l.line_no, m.other, -m.common / (m.both - m.common) FROM lines l JOIN pairs m USING (words)
-  WHERE m.common >= ceil(0.9 * (m.both - m.common) - 1e-9) AND m.other < (l.doc_id, l.line_no))
+  SELECT l.doc_id, l.line_no, m.other, -m.common / (m.total - m.common) FROM lines l JOIN pairs m USING (words)
+  WHERE m.common >= ceil(0.9 * (m.total - m.common) - 1e-9) AND m.other < (l.doc_id, l.line_no))
 SELECT doc_id, line_no::INTEGER AS line_no, min((other, minus))[1][1] AS first_doc_id,
        min((other, minus))[1][2]::INTEGER AS first_line_no, round(-min((other, minus))[2], 6) AS jaccard
 FROM matches GROUP BY doc_id, line_no
