@@ -1,10 +1,66 @@
-"""The corpus pipeline: language ID, line dedup, near duplicates, decontamination, packing."""
+"""The corpus pipeline: language ID, line dedup, near duplicates, decontamination, packing.
+
+Every stage takes all that its predecessor kept, as a written table, and its
+decisions take effect in the table that it returns.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import decontaminate, language_id, line_dedup, ngram_join, packing
+from lectern.llm.common import shared_folder, sized_join
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without words, and those mostly in no language that is known, go."""
+    names = docs.columns
+    found = language_id.identify(docs, keep=tuple(names))
+    return found.where("accepted").select(*(F.col(f"c{k}").alias(name) for k, name in enumerate(names)))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line resembles go, and documents that have no other."""
+    return line_dedup.without_lines(docs, line_dedup.removed_lines(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the lowest id stays."""
+    return sized_join(docs, ngram_join.later_copies(docs).select("doc_id"), "doc_id", "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return sized_join(docs, decontaminate.contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into training windows."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", languages),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("packing", windows),
+]
+
+#: Language ID and packing can't be said in SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each on the table that the one before it wrote."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
