@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, ngram_join, packing, substring_dedup, toxicity
+from . import decontaminate, html_text, language_id, line_dedup, ngram_join, packing, secrets, substring_dedup, top_k, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,10 +35,22 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.guess_costs(_table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(_table(spark, sf_dir, "documents"))
 
@@ -52,14 +64,58 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_packing": op7_packing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
 
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
 
+
+
+def _html_sql() -> str:
+    """The extraction in SQL: the same steps over lists."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    text = "regexp_replace(translate(html, chr(1), ' '), '(?s)<!--.*?(?:-->|\\z)', '', 'g')"
+    for name in html_text.HIDDEN:
+        gap = "chr(10)" if name in ("head", "select") else "''"
+        text = f"regexp_replace({text}, '(?is)<{name}\\b[^>]*>.*?(?:</{name}\\s*>|\\z)', {gap}, 'g')"
+    text = f"regexp_replace(translate({text}, chr(13), chr(10)), '(?i)</?(?:{html_text.BLOCKS})(?:[\\s/][^>]*)?>', chr(10), 'g')"
+    text = f"regexp_replace({text}, '<[a-zA-Z/!?][^>]*>', '', 'g')"
+    marked = f"string_split(regexp_replace({text}, '&#(x[0-9a-fA-F]{{1,6}}|[0-9]{{1,7}});', chr(1) || '\\1;', 'g'), chr(1))"
+    code = "string_split(x, ';')[1]"
+    value = f"(CASE WHEN starts_with({code}, 'x') THEN ('0x' || {code}[2:])::BIGINT ELSE {code}::BIGINT END)"
+    real = f"(({value} >= 32 AND {value} < 55296) OR ({value} > 57343 AND {value} <= 1114111))"
+    decoded = f"CASE WHEN i = 1 THEN x ELSE (CASE WHEN {real} THEN chr(({value})::INTEGER) ELSE '&#' || {code} || ';' END) || x[len({code}) + 2:] END"
+    plain = f"array_to_string(list_transform({marked}, lambda x, i: {decoded}), '')"
+    for name, char in html_text.ENTITIES.items():
+        plain = f"replace({plain}, '&{name};', {quoted(char)})"
+    sums = lambda n: f"list_transform({n}, lambda x, i: x + coalesce({n}[i + 1], 0))"
+    greatest = f"list_max({sums('list_transform(string_split(r, chr(10)), lambda y: len(y))')})"
+    return f"""
+WITH lines AS (
+  SELECT page_id, list_transform(string_split({plain}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\x0b\\f\\xa0]+', ' ', 'g'))) AS lines FROM pages),
+blocks AS (SELECT page_id, lines, {sums('list_transform(lines, lambda y: len(y))')} AS blocks FROM lines),
+regions AS (
+  SELECT page_id, list_max(blocks) AS most,
+    string_split(array_to_string(list_transform(lines, lambda x, i: x || CASE WHEN blocks[i] <= {html_text.DIVE} THEN chr(1) ELSE chr(10) END), ''), chr(1)) AS regions FROM blocks),
+kept AS (
+  SELECT page_id, list_filter(regions, lambda r: {greatest} >= greatest({html_text.LEAST}, {html_text.SHARE} * most)) AS kept FROM regions)
+SELECT page_id, array_to_string(list_filter(string_split(array_to_string(kept, chr(10)), chr(10)), lambda x: x <> ''), chr(10)) AS text, len(kept)::INTEGER AS n_regions FROM kept
+"""
+
+
 SQL: dict[str, str] = {
+    "op5_html_extraction": _html_sql(),
+    "op6_exact_top_k": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+pairs AS (SELECT a.vec_id AS vec_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
+SELECT vec_id, rank::INTEGER AS rank, neighbor_id, round(distance, 6) AS distance FROM ranked WHERE rank <= 10
+""",
     "op9_line_dedup": f"""
 WITH raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no
