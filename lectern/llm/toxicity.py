@@ -1,8 +1,11 @@
 """Toxic passages as maximal scoring segments.
 
 Words have log-odds between toxic and other labelled documents, with an
-informative Dirichlet prior in proportion to the words' overall counts; words
-whose log-odds are no clear z-score count as neutral.  Every word's score is
+informative Dirichlet prior in proportion to the words' overall counts.  A word
+counts once for each document, and copies count once: it is counted by the
+different neighbours that it has where these hash least.  Words whose excess
+among toxic documents may be chance (a likelihood ratio below that expected of
+the greatest of so many words) count as neutral.  Every word's score is
 its log-odds less ``drift``, so that ordinary text scores below zero.  A linear
 scan finds all maximal scoring segments of a document (no segment overlaps
 another, none can be extended or joined to gain).
@@ -26,6 +29,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as K
-from .common import columns, written
+from .common import columns, finished, written
 
 PER_CLASS = 3000
 PRIOR = 1000.0
-Z_LEAST = 3.0
 DRIFT = 0.2
-SIGNIFICANCE = 0.01
+SIGNIFICANCE = 1e-5
 _U = np.uint64
 
 
@@ -75,17 +78,15 @@ def sparse_segments(at: np.ndarray, gains: np.ndarray, drift: float) -> list[tup
     return [(int(at[a // 2]), int(at[(b - 1) // 2]) + 1, s) for a, b, s in segments(scores)]
 
 
-def log_odds(toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR, z_least: float = Z_LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of each word (0 where no clear z-score), and background probabilities."""
-    alpha = prior * (toxic + other) / max(1, (toxic + other).sum())
-    nt, no = toxic.sum() + prior, other.sum() + prior
-    a, b = toxic + alpha, other + alpha
-    odds = np.log(a / (nt - a)) - np.log(b / (no - b))
-    z = odds / np.sqrt(1 / a + 1 / b)
-    plain = np.log(a / nt) - np.log(b / no)
-    # a word that the prior alone keeps from zero is judged by its toxic count
-    clear = (z >= z_least) | ((other == 0) & (toxic >= 3) & (plain > 3))
-    return np.where(clear, plain, 0.0), b / no
+def log_odds(toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """Log-odds of each word with a Dirichlet prior; 0 where its excess may be chance among so many words."""
+    both = toxic + other
+    alpha = prior * both / max(1.0, both.sum())
+    odds = np.log((toxic + alpha) / (toxic.sum() + prior)) - np.log((other + alpha) / (other.sum() + prior))
+    share = toxic.sum() / max(1.0, both.sum())
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = 2 * (toxic * np.log(toxic / (both * share)) + np.where(other > 0, other * np.log(other / (both * (1 - share))), 0))
+    return np.where((toxic > both * share) & (gain >= 2 * math.log(max(2, len(both)))), odds, 0.0)
 
 
 def decay(scores: np.ndarray, p: np.ndarray) -> float:
@@ -115,17 +116,28 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, drift:
         for batch in batches:
             for part in K.slices(batch):
                 hashes, _, _, bounds = K.words(part.column(part.schema.get_field_index("text")))
-                toxic = np.repeat(part.column(part.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False), np.diff(bounds))
-                for kind in (True, False):
-                    words, n = np.unique(hashes[toxic == kind], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.full(len(words), kind)), pa.array(n)], ["word", "toxic", "n"])
-
-    counts = texts.mapInArrow(count, "word bigint, toxic boolean, n bigint").groupBy("word").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("o")).toArrow()
+                if not len(hashes):
+                    continue
+                row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                before, after = np.append(_U(0), hashes[:-1]), np.append(hashes[1:], _U(0))
+                before[bounds[:-1][np.diff(bounds) > 0]] = 0
+                after[bounds[1:][np.diff(bounds) > 0] - 1] = 0
+                around = K.mix(before + K.mix(after + _U(1)))
+                order = np.lexsort((around, hashes, row))
+                first = np.flatnonzero(np.append(True, (np.diff(row[order]) != 0) | (hashes[order][1:] != hashes[order][:-1])))
+                at = order[first]
+                n = np.diff(np.append(first, len(order)))
+                toxic = part.column(part.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False)[row[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(toxic), pa.array(around[at].view(np.int64)), pa.array(n.astype(np.int64))], ["word", "toxic", "around", "n"])
+
+    found = texts.mapInArrow(count, "word bigint, toxic boolean, around bigint, n bigint").groupBy("word", "toxic", "around").agg(F.sum("n").alias("n"))
+    each = lambda what, kind: F.sum(F.when(F.col("toxic") == kind, what).otherwise(0))
+    counts = found.groupBy("word").agg(each(1, True).alias("t"), each(1, False).alias("o"), each(F.col("n"), False).alias("n")).toArrow()  # words of a sample of fixed size
     if not counts.num_rows:
         return nothing
-    words, t, o = counts["word"].to_numpy().view(_U), counts["t"].to_numpy().astype(float), counts["o"].to_numpy().astype(float)
-    odds, p = log_odds(t, o)
-    scores = odds - drift
+    words, (t, o, n) = counts["word"].to_numpy().view(_U), (counts[c].to_numpy().astype(float) for c in ("t", "o", "n"))
+    scores = log_odds(t, o) - drift
+    p = (n + PRIOR * (t + o) / (t + o).sum()) / (n.sum() + PRIOR)
     chosen = scores > 0
     order = np.argsort(words[chosen])
     return words[chosen][order], scores[chosen][order], decay(scores, p)
@@ -169,6 +181,7 @@ def toxic_passages(docs: DataFrame, labels: DataFrame, significance: float = SIG
     r = F.size("passages")
     log_e = -F.col("t") + (r - 1) * F.log(F.greatest(F.col("t"), F.lit(1.0))) - F.log(F.factorial(F.least(r, F.lit(20)))) - F.log(F.factorial(F.least(r, F.lit(20)) - 1))
     out = hits.withColumn("t", total).select("doc_id", "n_words", "passages", F.array_max(F.transform("passages", lambda s: s["score"])).alias("max_score"), F.exp(F.least(log_e, F.log(F.array_min(F.transform("passages", lambda s: s["e_value"]))))).alias("e_value"))
-    return out.groupBy("doc_id").agg(F.min(F.struct("e_value", "n_words", "passages", "max_score")).alias("x")).select("doc_id", "x.n_words", "x.passages", "x.max_score", "x.e_value")
+    out = out.groupBy("doc_id").agg(F.min(F.struct("e_value", "n_words", "passages", "max_score")).alias("x")).select("doc_id", "x.n_words", "x.passages", "x.max_score", "x.e_value")
+    return finished(out, scored)
 
 

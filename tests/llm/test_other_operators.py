@@ -134,7 +134,7 @@ def test_more_items_than_a_block(spark):
 
 
 def test_the_article_stays(spark):
-    html = "<html><head><title>T</title><script>var a='</p>';</script></head><body><ul><li>Home</li><li>More</li></ul><div>Buy now</div><h1>Title here</h1><p>" + "First words of it. " * 10 + "<p>A&#66;&amp;lt; &#x43;</p><p>" + "Second words. " * 12 + "</p></article></div><footer>&copy; us</footer></body></html>"
+    html = "<html><head><title>T</title><script>var a='</p>';</script></head><body><ul><li>Home</li><li>More</li></ul><div>Buy now</div><article><h1>Title here</h1><p>" + "First words of it. " * 10 + "<p>A&#66;&amp;lt; &#x43;</p><p>" + "Second words. " * 12 + "</p></article><footer>&copy; us</footer></body></html>"
     pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "<p>short</p>"), (None, "<p>" + "long text " * 9), (5, "<!-- " + html), (5, "plain " * 30)], "page_id bigint, html string")
     found = rows(html_text.main_text(clashing(pages)))
     by = {r[0]: r for r in found if r[0] != 5}

@@ -69,8 +69,12 @@ def _jaccard_pairs(table, t, n):
         w = words(text)
         if d is not None and w:
             sets.setdefault(d, set()).add(frozenset(zip(*(w[k:] for k in range(n)), strict=False)) if len(w) >= n else frozenset([tuple(w)]))
-    out = {}
-    for (a, x), (b, y) in itertools.combinations(sorted((d, s) for d, ss in sets.items() for s in ss), 2):
+    first, out = {}, {}
+    for d in sorted(sets):
+        for s in sets[d]:
+            if first.setdefault(s, d) != d:  # the first stands for equal ones
+                out[first[s], d] = 1.0
+    for (a, x), (b, y) in itertools.combinations(sorted((d, s) for s, d in first.items()), 2):
         if a != b and len(x & y) / len(x | y) >= t:
             out[a, b] = max(out.get((a, b), 0), len(x & y) / len(x | y))
     return out
