@@ -52,19 +52,32 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, which survives lost executors."""
+    """The rows as a Parquet table in the shared folder, which survives lost executors.
+
+    The shuffles behind it are then garbage; asking for its collection lets Spark
+    delete their files, which would otherwise lie on the executors' disks.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.lectern_path = path
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Removes a table of ``written`` that nothing reads any more."""
-    _remove(df.sparkSession, df.lectern_path)
+def drop_written(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df.lectern_path)
+
+
+def finished(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """The result as a table of its own; the tables that it was made from are removed."""
+    out = written(df)
+    drop_written(*tables)
+    return out
 
 
 def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as K
-from .common import columns, packed, sized_join, written
+from .common import columns, drop_written, finished, packed, sized_join, written
 from .rarity import BITS, sketch
 
 NGRAM = 3
@@ -206,7 +206,9 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, keys: int, id_col: str,
         return out.append_column("jaccard", pa.array((common / np.maximum(union, 1))[hit], pa.float64()))
 
     near = pairs.withColumn("bucket", bucket).groupBy("bucket").cogroup(present.groupBy("bucket")).applyInArrow(verify, "xh1 bigint, xh2 bigint, yh1 bigint, yh2 bigint, jaccard double")
-    return sets, firsts, written(near)
+    near = written(near)
+    drop_written(lists, pairs)
+    return sets, firsts, near
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -234,7 +236,8 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, ke
         raise ValueError("threshold must lie in (0, 1]")
     sets, firsts, near = set_pairs(docs, threshold, n, keys, id_col, text_col)
     same = _copies(sets, firsts).select(F.col("first").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
-    return _named(firsts, near).unionByName(same).groupBy("doc_id_a", "doc_id_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    out = _named(firsts, near).unionByName(same).groupBy("doc_id_a", "doc_id_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    return finished(out, sets, firsts, near)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,7 +254,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("w"), "m").where("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
-        edges = written(small)
+        edges = finished(small, edges)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -264,4 +267,5 @@ def later_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM,
     roots = components(_named(firsts, near).select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")))
     members = _copies(sets, firsts).join(roots.select(F.col("node").alias("first"), "root"), "first", "left")
     members = members.select("doc_id", F.coalesce("root", "first").alias("kept"))
-    return members.union(roots).where("doc_id <> kept").groupBy("doc_id").agg(F.min("kept").alias("kept"))
+    out = members.union(roots).where("doc_id <> kept").groupBy("doc_id").agg(F.min("kept").alias("kept"))
+    return finished(out, sets, firsts, near)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, written
+from .common import columns, drop_written, written
 
 CAPACITY = 32768
 OPEN_WINDOWS = 16
@@ -95,6 +95,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, open_windows: int = OPEN_WIN
         return pa.Table.from_batches([_out(key[0].as_py(), best_fit(groups, capacity, open_windows))])
 
     done = written(placed.groupBy("bucket").applyInArrow(first, _SCHEMA))
+    drop_written(sizes)
     level, parts = 0, [done.where("final").withColumn("level", F.lit(0))]
     while buckets > 1:  # merge what is left of ``merge`` partitions at a time
         buckets = math.ceil(buckets / merge)

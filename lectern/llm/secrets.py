@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as K
-from .common import columns, sized_join, written
+from .common import columns, finished, sized_join, written
 from .rarity import BITS, sketch
 
 MIN_BITS = 40.0
@@ -254,4 +254,5 @@ def guess_costs(docs: DataFrame, min_bits: float = MIN_BITS, word_least: int = W
 
     priced = known.select("value", "words").mapInArrow(cost, "value string, bits double, segments string")
     out = hits.join(priced, "value")
-    return out.select("doc_id", "start", "context", F.length("value").alias("length"), F.sha2("value", 256).alias("sha256"), "bits", "segments", (F.col("bits") >= min_bits).alias("secret"))
+    out = out.select("doc_id", "start", "context", F.length("value").alias("length"), F.sha2("value", 256).alias("sha256"), "bits", "segments", (F.col("bits") >= min_bits).alias("secret"))
+    return finished(out, hits, spans, counts)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, packed, written
+from .common import columns, drop_written, finished, packed, written
 
 K = 10
 ANNULUS = 512
@@ -130,7 +130,7 @@ def top_k(vectors: DataFrame, k: int = K, annulus: int = ANNULUS, group: int = G
     schema = "vec_id bigint, rank int, neighbor_id bigint, distance double"
     rows = columns(vectors, vec_id=(id_col, "long"), v=(vector_col, "array<double>"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("v") > 0))
-    rows = written(rows.groupBy("vec_id").agg(F.min(F.struct(F.size("v").alias("n"), F.col("v").alias("v"))).alias("x")).select("vec_id", "x.n", "x.v"))
+    base = rows = written(rows.groupBy("vec_id").agg(F.min(F.struct(F.size("v").alias("n"), F.col("v").alias("v"))).alias("x")).select("vec_id", "x.n", "x.v"))
     sizes = rows.groupBy("n").count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not sizes or sizes[0]["count"] < 2:
         return spark.createDataFrame([], schema)
@@ -165,7 +165,7 @@ def top_k(vectors: DataFrame, k: int = K, annulus: int = ANNULUS, group: int = G
     number = spark.createDataFrame([(p, q, i) for i, (p, q, _, _) in enumerate(index)], "pivot int, part int, ring int")
     where, _, lo, hi = (np.array(c) for c in zip(*index, strict=True))
     plan = spark.sparkContext.broadcast((pivots, where, lo, hi))
-    rings = written(rings.join(number, ["pivot", "part"]).select("ring", "ids", "vecs"))
+    rings = finished(rings.join(number, ["pivot", "part"]).select("ring", "ids", "vecs"), rings)
 
     def todo(state: State, cursor: int) -> tuple[int, list[int]]:
         least, wanted = bounds(state.vecs, state.best_d[:, -1], *plan.value)
@@ -192,9 +192,11 @@ def top_k(vectors: DataFrame, k: int = K, annulus: int = ANNULUS, group: int = G
             state.see(np.frombuffer(right["ids"][i].as_py(), np.int64), _matrix(right["vecs"][i].as_py(), dim))
         return packed_state(row["grp"], state, row["cursor"])
 
+    drop_written(base)
     state = written(rings.withColumn("grp", F.floor(F.col("ring") / F.lit(group))).groupBy("grp").applyInArrow(begin, _STATE))
-    done = []
+    states, done = [], []
     while True:
+        states.append(state)
         done.append(state.where(F.size("todo") == 0).select("ids", "best_d", "best_id"))
         left = state.where(F.size("todo") > 0)
         if not left.limit(1).count():
@@ -215,4 +217,4 @@ def top_k(vectors: DataFrame, k: int = K, annulus: int = ANNULUS, group: int = G
     for part in done[1:]:
         every = every.union(part)
     found = every.mapInArrow(named, schema)
-    return found.withColumn("distance", F.round("distance", 6))
+    return finished(found.withColumn("distance", F.round("distance", 6)), rings, *states)
