@@ -5,7 +5,8 @@ The lines of all documents are sets of words.  A line goes if an earlier one
 threshold with it.  Equal sets are found by a 128-bit hash of the set; other
 pairs by prefix filtering: the words of a set are ordered by rarity over the
 whole corpus, and two similar sets must share one of their first, rarest words.
-Length and positional bounds discard pairs before their exact verification.
+Length and positional bounds, and bitwise parities of the sets, discard pairs
+before their exact verification.
 
 Lines with fewer than ``min_tokens`` different words always stay.
 
@@ -19,6 +20,7 @@ line number; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as K
-from .common import columns, packed, sized_join, written
+from .common import columns, finished, packed, sized_join, written
 from .rarity import BITS, sketch
 
 THRESHOLD = 0.9
@@ -82,6 +84,11 @@ def line_sets(part_sets: tuple, rarity: np.ndarray, min_tokens: int) -> Iterator
         yield row[at:to][keep], number[at:to][keep], n, *sums, elem, b
 
 
+def parities(elem: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 parities of each set: two sets differ in as many elements at least as these differ in bits."""
+    return np.bitwise_xor.reduceat(_U(1) << (K.mix(elem + _U(1)) & _U(63)), b[:-1]).view(np.int64)
+
+
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, first_doc_id, first_line_no, jaccard) of every line that goes.
 
@@ -110,43 +117,18 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int
                     shorter = np.where(alone, 0, n - least_overlap(n, n, t) + 1)
                     pos = np.arange(longest.sum()) - np.repeat(np.cumsum(longest) - longest, longest)
                     prefix = elem[np.repeat(b[:-1], longest) + pos]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(shorter.astype(np.int32)), packed(prefix, np.append(0, np.cumsum(longest)))], ["doc_id", "line_no", "n", "h1", "h2", "index", "prefix"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(parities(elem, b)), pa.array(shorter.astype(np.int32)), packed(prefix, np.append(0, np.cumsum(longest)))], ["doc_id", "line_no", "n", "h1", "h2", "bits", "index", "prefix"])
 
-    lines = written(texts.mapInArrow(sets, "doc_id bigint, line_no int, n int, h1 bigint, h2 bigint, index int, prefix binary"))
+    lines = written(texts.mapInArrow(sets, "doc_id bigint, line_no int, n int, h1 bigint, h2 bigint, bits bigint, index int, prefix binary"))
     place, key = F.struct("doc_id", "line_no"), F.struct("h1", "h2")
     # one line stands for all with its set: the earliest
-    groups = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("members"), F.max(place).alias("last")))
-    heads = lines.where("index > 0").join(groups.select("h1", "h2", "first"), ["h1", "h2"]).where(place == F.col("first"))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            field = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
-            column = field("prefix")
-            if not len(column):
-                continue
-            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
-            flat = np.frombuffer(column.buffers()[2], np.int64)[offsets[0] : offsets[-1]]
-            many = np.diff(offsets)
-            row = pa.array(np.repeat(np.arange(len(many)), many))
-            pos = np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], many)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), field("h1").take(row), field("h2").take(row), field("n").take(row), pa.array(pos.astype(np.int32)), field("index").take(row)], ["elem", "h1", "h2", "n", "pos", "index"])
-
-    posts = heads.select("h1", "h2", "n", "index", "prefix").mapInArrow(prefixes, "elem bigint, h1 bigint, h2 bigint, n int, pos int, index int")
-    posts = written(posts)
-    small, large = posts.where("pos < index").alias("a"), posts.alias("b")
-    alpha = F.ceil(F.lit(t / (1 + t)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-9))
-    a, b = F.struct("a.h1", "a.h2"), F.struct("b.h1", "b.h2")
-    pairs = (
-        small.join(large, F.col("a.elem") == F.col("b.elem"))
-        .where(
-            (F.col("a.n") >= F.ceil(F.lit(t) * F.col("b.n") - F.lit(1e-9)))
-            & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (a < b)))
-            & (F.least("a.pos", "b.pos") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= alpha)
-        )
-        .select(a.alias("x"), b.alias("y"))
-        .distinct()
-    )
-    pairs = written(pairs)
+    same = [F.first(c).alias(c) for c in ("n", "bits", "index", "prefix")]
+    groups = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), *same))
+    # postings of an element come together, by size; candidates are found as they pass
+    posts = groups.where("index > 0").select("h1", "h2", "bits", "n", "index", "prefix").mapInArrow(_postings, "elem bigint, h1 bigint, h2 bigint, bits bigint, n int, pos int, index int")
+    posts = posts.repartition("elem").sortWithinPartitions("elem", "n")
+    pairs = posts.mapInArrow(lambda batches: _candidates(batches, t), "xh1 bigint, xh2 bigint, yh1 bigint, yh2 bigint").distinct()
+    pairs = written(pairs.select(F.struct(F.col("xh1").alias("h1"), F.col("xh2").alias("h2")).alias("x"), F.struct(F.col("yh1").alias("h1"), F.col("yh2").alias("h2")).alias("y")))
     # the sets of the candidates are made once more, from the documents that hold them
     ends = pairs.select(F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2")).union(pairs.select("y.h1", "y.h2")).distinct()
     wanted_docs = groups.join(ends, ["h1", "h2"], "left_semi").select("first.doc_id").distinct()
@@ -181,7 +163,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int
     nearest = near.join(firsts, "y").groupBy(F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2")).agg(F.min(F.struct("other", (-F.col("jaccard")).alias("minus"))).alias("best"))
     wanted = groups.select("h1", "h2", "first", "last").join(nearest, ["h1", "h2"], "left").where("best is not null or first < last")
     itself = F.when(place > F.col("first"), F.struct(F.col("first").alias("other"), F.lit(-1.0).alias("minus")))
-    return (
+    out = (
         lines.select("doc_id", "line_no", "h1", "h2")
         .join(wanted, ["h1", "h2"])
         .withColumn("hit", F.least(itself, F.when(F.col("best.other") < place, F.col("best"))))
@@ -189,6 +171,71 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int
         .select("doc_id", "line_no", F.col("hit.other.doc_id").alias("first_doc_id"), F.col("hit.other.line_no").alias("first_line_no"), F.round(-F.col("hit.minus"), 6).alias("jaccard"))
         .distinct()
     )
+    return finished(out, lines, groups, pairs, body, near)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each element of each prefix."""
+    for batch in batches:
+        field = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+        column = field("prefix")
+        if not len(column):
+            continue
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
+        flat = np.frombuffer(column.buffers()[2], np.int64)[offsets[0] : offsets[-1]]
+        many = np.diff(offsets)
+        row = pa.array(np.repeat(np.arange(len(many)), many))
+        pos = np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], many)
+        yield pa.RecordBatch.from_arrays([pa.array(flat), field("h1").take(row), field("h2").take(row), field("bits").take(row), field("n").take(row), pa.array(pos.astype(np.int32)), field("index").take(row)], ["elem", "h1", "h2", "bits", "n", "pos", "index"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets that share an element, from postings in order of element and size.
+
+    Rows of the batches before are kept only as long as their element goes on and
+    they aren't too small for the sets to come.
+    """
+    names = ["elem", "h1", "h2", "bits", "n", "pos", "index"]
+    kept = [np.zeros(0, np.int64) for _ in names]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        old = len(kept[0])
+        rows = [np.concatenate([k, batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64)]) for k, c in zip(kept, names, strict=True)]
+        elem, h1, h2, bits, n, pos, index = rows
+        at = np.arange(old, len(elem))
+        # each row looks back: at rows of its element that are large enough
+        begin = np.flatnonzero(np.append(True, elem[1:] != elem[:-1]))
+        start = begin[np.searchsorted(begin, at, side="right") - 1]
+        base = n.max() + 1
+        order = np.searchsorted(begin, np.arange(len(elem)), side="right") * base + n  # ascends over the rows
+        low = np.searchsorted(order, order[at] - n[at] + np.ceil(t * n[at] - 1e-9).astype(np.int64))
+        low = np.maximum(low, start)
+        for a in range(0, len(at), 4096):
+            i, lo = at[a : a + 4096], low[a : a + 4096]
+            many = i - lo
+            big = np.cumsum(many)
+            cuts = [0, *np.searchsorted(big, np.arange(1, int(big[-1] // 500_000) + 1) * 500_000).tolist(), len(i)]
+            for p, q in zip(cuts, cuts[1:], strict=False):
+                if q <= p or not (m := many[p:q]).sum():
+                    continue
+                y = np.repeat(i[p:q], m)
+                x = np.repeat(lo[p:q] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                x, y = _possible(x, y, h1, h2, bits, n, pos, index, t)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h1[x], h2[x], h1[y], h2[y])], ["xh1", "xh2", "yh1", "yh2"])
+        last = max(int(np.searchsorted(order, order[-1] - n[-1] + math.ceil(t * n[-1] - 1e-9))), int(begin[-1]))
+        kept = [r[last:] for r in rows]
+
+
+def _possible(x: np.ndarray, y: np.ndarray, h1: np.ndarray, h2: np.ndarray, bits: np.ndarray, n: np.ndarray, pos: np.ndarray, index: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose positions and parities leave enough overlap; x the smaller, of equal ones that of the lower hash."""
+    swap = (n[x] == n[y]) & ((h1[x] > h1[y]) | ((h1[x] == h1[y]) & (h2[x] > h2[y])))
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    overlap = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
+    least = least_overlap(n[x], n[y], t)
+    good = (pos[x] < index[x]) & (overlap >= least) & (np.bitwise_count((bits[x] ^ bits[y]).view(_U)).astype(np.int64) <= n[x] + n[y] - 2 * least) & ((h1[x] != h1[y]) | (h2[x] != h2[y]))
+    return x[good], y[good]
 
 
 def _common(a: pa.Buffer, b: pa.Buffer) -> int:
