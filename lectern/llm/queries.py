@@ -109,6 +109,39 @@ SELECT page_id, array_to_string(list_filter(string_split(array_to_string(kept, c
 
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?][ \t]+|\n\s*)', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM t),
+b AS (SELECT doc_id, list_transform(s, lambda x: trim(regexp_replace(x, '\s+$', ''))) AS b FROM s WHERE len(s) >= 3),
+places AS (SELECT doc_id, b, unnest(range(len(b) - 2)) AS pos FROM b),
+spans AS (
+  SELECT doc_id, pos, b[pos + 1:pos + 3] AS k FROM places
+  WHERE list_sum(list_transform(b[pos + 1:pos + 3], lambda x: len(string_split_regex(x, '\s+')))) >= 15),
+firsts AS (SELECT k, min((doc_id, pos)) AS first FROM spans GROUP BY k),
+later AS (SELECT s.doc_id, s.pos, f.first[1] AS first FROM spans s JOIN firsts f USING (k) WHERE (s.doc_id, s.pos) > f.first),
+gone AS (
+  SELECT doc_id, list_sort(list_distinct(flatten(list(range(pos, pos + 3))))) AS removed, list_sort(list_distinct(list(first))) AS first_doc_ids
+  FROM later GROUP BY doc_id)
+SELECT DISTINCT doc_id, removed::INTEGER[] AS removed, first_doc_ids, len(s)::INTEGER AS n_sentences,
+       array_to_string(list_filter(s, lambda x, i: NOT list_contains(removed, i - 1)), '') AS kept_text
+FROM s JOIN gone USING (doc_id)
+""",
+    "op2_ngram_jaccard_join": f"""
+WITH w AS (SELECT DISTINCT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+sets AS (
+  SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) ELSE [array_to_string(w, ' ')] END)) AS g
+  FROM w WHERE len(w) > 0),
+firsts AS (SELECT g, min(doc_id) AS f, len(g) AS n, row_number() OVER () AS id FROM sets GROUP BY g),
+grams AS (SELECT id, n, unnest(g) AS x FROM firsts),
+common AS (
+  SELECT a.id AS a, b.id AS b, count(*) AS c FROM grams a JOIN grams b ON a.x = b.x AND a.id < b.id AND least(a.n, b.n) >= 0.45 * greatest(a.n, b.n) - 1e-9 GROUP BY a.id, b.id),
+pairs AS (
+  SELECT x.f AS p, y.f AS q, c / (x.n + y.n - c) AS j FROM common JOIN firsts x ON a = x.id JOIN firsts y ON b = y.id
+  WHERE c >= ceil(0.45 * (x.n + y.n - c) - 1e-9) AND x.f <> y.f
+  UNION ALL SELECT f, doc_id, 1.0::DOUBLE FROM sets JOIN firsts USING (g) WHERE doc_id <> f)
+SELECT least(p, q) AS doc_id_a, greatest(p, q) AS doc_id_b, round(max(j), 6) AS jaccard FROM pairs GROUP BY 1, 2
+""",
     "op5_html_extraction": _html_sql(),
     "op6_exact_top_k": """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
