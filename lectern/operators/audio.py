@@ -91,9 +91,12 @@ def joined(rows: DataFrame, keys: list[str], order: str, audio: str = "audio") -
     return rows.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda p: p["a"])).alias(audio))
 
 
-def chunk_chain(audio: Column, gain_db: Column, rate: int) -> Column:
-    """Trim, fade, gain, as every chunk goes through."""
-    return gained(declick(trim(audio, rate), rate), gain_db)
+def chunk_chain(rows: DataFrame, gain_db: Column, rate: int) -> DataFrame:
+    """Trim, fade, gain of the column audio, as every chunk goes through.
+
+    The trimmed audio is a column first: native lambdas can't be over a UDF's result.
+    """
+    return rows.withColumn("audio", trim(F.col("audio"), rate)).withColumn("audio", gained(declick(F.col("audio"), rate), gain_db))
 
 
 def sine(duration: Column, level: Column, rate: int, stamp: Column) -> Column:
@@ -207,10 +210,11 @@ def contour(delta: Column, threshold: float = 1.5) -> Column:
     return F.when(delta.isNull(), "undef").when(delta >= threshold, "rise").when(delta <= -threshold, "fall").otherwise("flat")
 
 
-def contour_record(audio: Column, rate: int) -> Column:
-    """(delta_st, voiced_frames, contour) of a waveform."""
-    f0 = F.coalesce(voiced_f0(audio, rate), F.array().cast("array<double>"))
-    return F.transform(F.array(f0), lambda x: F.struct(delta_from_f0(x).alias("delta_st"), F.size(x).alias("voiced_frames"), contour(delta_from_f0(x)).alias("contour")))[0]
+def with_contour(rows: DataFrame, rate: int, audio: str = "audio") -> DataFrame:
+    """rows with delta_st, voiced_frames and contour of a waveform."""
+    found = rows.withColumn("f0", F.coalesce(voiced_f0(F.col(audio), rate), F.array().cast("array<double>")))
+    found = found.withColumn("delta_st", delta_from_f0(F.col("f0"))).withColumn("voiced_frames", F.size("f0"))
+    return found.withColumn("contour", contour(F.col("delta_st"))).drop("f0")
 
 
 def glide(rate: int, start: float, end: float, seconds: float, glide_s: float) -> np.ndarray:

@@ -112,6 +112,6 @@ def mix(results: DataFrame, segments: DataFrame, planned: DataFrame, rate: int =
     """(script_id, audio): chunks and gaps of each script in order."""
     gain = F.lit(0.0) if gain_db is None else gain_db
     pieces = results.where(F.size("audio") > 0).join(planned.select("script_id", "chunk_idx", "seg_no", "piece_no"), ["script_id", "chunk_idx"])
-    pieces = pieces.select("script_id", F.struct("seg_no", "piece_no").alias("at"), A.chunk_chain(F.col("audio"), gain, rate).alias("audio"))
+    pieces = A.chunk_chain(pieces.select("script_id", F.struct("seg_no", "piece_no").alias("at"), "audio", gain.alias("gain_db")), F.col("gain_db"), rate).drop("gain_db")
     gaps = segments.where("kind = 'gap'").select("script_id", F.struct(F.col("seg_no"), F.lit(0).alias("piece_no")).alias("at"), A.silence(F.col("gap_s"), rate).alias("audio"))
     return A.joined(pieces.unionByName(gaps), ["script_id"], "at")

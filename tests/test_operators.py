@@ -149,6 +149,9 @@ def test_audio_steps(spark):
     df = spark.createDataFrame([(x.tolist(),)], "audio array<float>")
     got = df.select(A.limited(A.gained(F.col("audio"), F.lit(12.0)), 0.9).alias("a")).collect()[0]["a"]
     assert max(map(abs, got)) < 0.9
+    tones = spark.createDataFrame([("up", A.glide(rate, 200, 300, 2.0, 0.6).tolist()), ("none", [0.0] * 100)], "id string, audio array<float>")
+    found = {r["id"]: r for r in A.with_contour(tones, rate).collect()}
+    assert found["up"]["contour"] == "rise" and found["none"]["contour"] == "undef" and found["none"]["voiced_frames"] == 0
 
 
 def test_wav_round_trip_and_scripts(spark, tmp_path):
