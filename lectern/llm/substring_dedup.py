@@ -6,9 +6,9 @@ hashed; a span is repeated if its sentences, stripped, equal those of another
 span anywhere.  All spans but the first one (by document id, then position) of
 each kind are non-first, and sentences that any non-first span covers go.
 
-Hashing is native (two 64-bit hashes of the stripped sentences).  Kinds that
-repeat are found by an aggregation that combines before the shuffle, so that a
-span of thousands of documents is no hot key, and are joined back to the spans.
+Hashing is native (two 64-bit hashes of the stripped sentences).  Spans, of 28
+bytes each, are exchanged once by their hash and sorted; one pass over each
+partition finds those that aren't first, without holding equal ones together.
 
 Defined results: null ids and null texts take no part; empty texts and those of
 fewer than ``span`` sentences have no spans; rows that repeat an id are one
@@ -19,10 +19,16 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, fits, written
+from . import tokens as K
+from .common import columns, written
+from .rarity import BITS, sketch
 
 SPAN = 3
 MIN_WORDS = 15
@@ -39,6 +45,24 @@ def _positions(spans: Column, span: int) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda p: F.sequence(p, p + F.lit(span - 1))))))
 
 
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of spans in order of their kind and place: those that aren't their kind's first, with the first's document."""
+    last: tuple[int, int, int, int] | None = None  # kind and place of the first of the kind that goes on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h1, h2, doc, pos = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("h1", "h2", "doc_id", "pos"))
+        new = np.append(last is None or (h1[0], h2[0]) != last[:2], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(doc)), -1))
+        first, at = doc[begin], pos[begin]
+        if last is not None:
+            first, at = np.where(begin < 0, last[2], first), np.where(begin < 0, last[3], at)
+        hit = (doc != first) | (pos != at)
+        last = int(h1[-1]), int(h2[-1]), int(first[-1]), int(at[-1])
+        if hit.any():
+            yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(pos[hit].astype(np.int32)), pa.array(first[hit])], ["doc_id", "pos", "first"])
+
+
 def repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, removed, first_doc_ids, n_sentences, kept_text) of documents that lose sentences.
 
@@ -47,12 +71,13 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS
     """
     if span < 2 or min_words < 1:
         raise ValueError("span must be 2 at least, min_words 1")
+    spark = docs.sparkSession
     texts = columns(docs, doc_id=(id_col, "long"), text=(text_col, "string")).where("doc_id is not null and text is not null")
     parts = texts.select("doc_id", sentences(F.col("text")).alias("s"))
     bare = F.transform("s", lambda x: F.trim(F.regexp_replace(x, r"\s+$", "")))
-    words = F.transform("s", lambda x: F.size(F.split(F.trim(x), r"\s+")))
-    hashed = parts.where(F.size("s") >= span).select("doc_id", bare.alias("b"), words.alias("w"))
-    hashed = hashed.select("doc_id", F.transform("b", lambda x: F.struct(F.xxhash64(x).alias("p"), F.xxhash64(F.lit("~"), x).alias("q"))).alias("h"), "w")
+    words = F.transform("b", lambda x: F.size(F.split(x, r"\s+")))
+    hashed = parts.where(F.size("s") >= span).select("doc_id", bare.alias("b"))
+    hashed = hashed.select("doc_id", F.transform("b", lambda x: F.struct(F.xxhash64(x).alias("p"), F.xxhash64(F.lit("~"), x).alias("q"))).alias("h"), words.alias("w"))
     at = F.sequence(F.lit(0), F.size("h") - F.lit(span))
     rows = hashed.select("doc_id", "h", "w", F.explode(at).alias("pos"))
     near = lambda c, k: F.col(c)[F.col("pos") + F.lit(k)]
@@ -63,11 +88,20 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS
         F.xxhash64(*(near("h", k)["p"] for k in range(span))).alias("h1"),
         F.xxhash64(*(near("h", k)["q"] for k in range(span))).alias("h2"),
     )
-    spans = written(spans)
-    kinds = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"))
-    kinds = written(kinds.where("first < last").select("h1", "h2", "first"))
-    later = spans.join(F.broadcast(kinds) if fits(kinds, 40) else kinds, ["h1", "h2"]).where(F.struct("doc_id", "pos") > F.col("first"))
-    gone = later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"), F.array_sort(F.collect_set("first.doc_id")).alias("first_doc_ids"))
-    gone = gone.select("doc_id", _positions(F.col("starts"), span).alias("removed"), "first_doc_ids")
+    # one exchange: equal spans come together in order of their places, and pass one by one
+    later = spans.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "pos").mapInArrow(_later, "doc_id bigint, pos int, first bigint")
+    gone = later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"), F.array_sort(F.collect_set("first")).alias("first_doc_ids"))
+    gone = written(gone.select("doc_id", _positions(F.col("starts"), span).alias("removed"), "first_doc_ids"))
+    # texts are cut once more, those that lose sentences; a bitmap of fixed size keeps most others from the join
+    some = spark.sparkContext.broadcast(sketch(gone.select("doc_id"), lambda batch: [K.mix(batch.column(0).to_numpy().view(np.uint64))]) > 0)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = K.mix(batch.column(0).to_numpy().astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITS)
+            keep = some.value[ids.astype(np.int64)]
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    lose = texts.mapInArrow(candidates, "doc_id bigint, text string").join(gone, "doc_id").select("doc_id", "removed", "first_doc_ids", sentences(F.col("text")).alias("s"))
     kept = F.array_join(F.filter("s", lambda x, i: ~F.array_contains("removed", i)), "")
-    return parts.join(gone, "doc_id").select("doc_id", "removed", "first_doc_ids", F.size("s").alias("n_sentences"), kept.alias("kept_text")).distinct()
+    return lose.select("doc_id", "removed", "first_doc_ids", F.size("s").alias("n_sentences"), kept.alias("kept_text")).distinct()
