@@ -1,19 +1,19 @@
-"""Near duplicates: a Jaccard join over word n-grams in size-banded bitmap tiles.
+"""Near duplicates: an exact Jaccard join over word n-grams by prefixes and parity bitmaps.
 
 A document is the set of its word n-grams, as 64-bit hashes.  Equal sets are
-found by a 128-bit hash of the set.  For other pairs each set is filed under
-its first ``keys`` n-grams in an order by rarity (coarse corpus-wide counts,
-then hash); sets under one key are sorted by size and cut into blocks, and
-blocks whose size bands may reach the threshold make tiles.  Within a tile all
-pairs are compared by parity bitmaps: the bits in which two bitmaps differ
-number at most the n-grams in which the sets differ, which bounds the overlap
-from above.  Pairs within the bound are verified by exact intersection of
-sorted arrays.
-
-What is approximate: two sets with Jaccard similarity j share a key with a
-probability of about 1 - (1 - j)**keys, 0.9992 for the defaults at the threshold
-and more above; everything after that is exact.  Sets of at most
-n - ceil(threshold * n) + 1 <= keys n-grams are complete.
+found by a 128-bit hash of the set.  Other pairs are found by prefix filtering:
+the n-grams of a set are ordered by rarity (coarse corpus-wide counts, then
+hash), the same order everywhere, and two sets that reach the threshold must
+share one of the first n - ceil(threshold * n) + 1 of the larger set with one of
+the first n - ceil(2 * threshold / (1 + threshold) * n) + 1 of the smaller.  All
+of these are posted; a posting that nobody shares falls away where it is sorted.
+Pairs that share one and whose sizes may reach the threshold are compared by
+parity bitmaps: the bits in which two bitmaps differ number at most the n-grams
+in which the sets differ, which bounds the overlap from above.  Pairs within
+the bound are verified by exact intersection of sorted arrays.
+
+No pair is lost but by a collision of 64-bit hashes.  All postings of one n-gram
+pass one task.
 
 Defined results: documents without an id, with null text or without words pair
 with nothing; rows that repeat an id never pair with themselves; a text of
@@ -38,10 +38,12 @@ from .rarity import BITS, sketch
 
 NGRAM = 3
 THRESHOLD = 0.45
-KEYS = 12
 BLOCK = 256
 _U = np.uint64
 _TILE = "xh1 bigint, xh2 bigint, yh1 bigint, yh2 bigint, tile bigint"
+#: A posting is an n-gram's hash above the set's size and, lowest, whether only a smaller set may meet it there.
+_SIZE_BITS = 24
+_FOUND = 1 << 20
 
 
 def gram_sets(part: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,59 +72,91 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def tile_pairs(na: np.ndarray, a: list[bytes], nb: np.ndarray, b: list[bytes], same: bool, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two blocks that size and bitmaps leave possible; each once if same."""
-    left, right = [], []
-    wa, wb = (np.array([len(x) for x in y]) // 8 for y in (a, b))
-    for u in np.unique(wa):
-        ia = np.flatnonzero(wa == u)
-        bits_a = np.frombuffer(b"".join(a[i] for i in ia), _U).reshape(len(ia), u)
-        for v in np.unique(wb):
-            ib = np.flatnonzero(wb == v)
-            words = min(u, v)
-            bits_b = folded(np.frombuffer(b"".join(b[i] for i in ib), _U).reshape(len(ib), v), words)
-            fold_a = folded(bits_a, words)
-            for k, i in enumerate(ia):
-                total = na[i] + nb[ib]
-                near = np.minimum(na[i], nb[ib]) >= t * np.maximum(na[i], nb[ib]) - 1e-9
-                if same:
-                    near &= ib > i
-                at = np.flatnonzero(near)
-                if not len(at):
-                    continue
-                differ = np.bitwise_count(bits_b[at] ^ fold_a[k]).sum(axis=1, dtype=np.int64)
-                overlap = (total[at] - differ) // 2
-                at = at[overlap >= np.ceil(t / (1 + t) * total[at] - 1e-9)]
-                left.append(np.full(len(at), i))
-                right.append(ib[at])
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+def possible(nx: np.ndarray, x: list[bytes], ny: np.ndarray, y: list[bytes], t: float) -> np.ndarray:
+    """True for each pair of sets that sizes and bitmaps leave possible."""
+    out = np.zeros(len(nx), bool)
+    wx, wy = (np.array([len(b) for b in bits], np.int64) // 8 for bits in (x, y))
+    for u, v in set(zip(wx.tolist(), wy.tolist(), strict=True)):
+        at = np.flatnonzero((wx == u) & (wy == v))
+        for k in range(0, len(at), 4096):
+            i = at[k : k + 4096]
+            a, b = (np.frombuffer(b"".join(bits[r] for r in i), _U).reshape(len(i), w) for bits, w in ((x, u), (y, v)))
+            differ = np.bitwise_count(folded(a, min(u, v)) ^ folded(b, min(u, v))).sum(axis=1, dtype=np.int64)
+            total = nx[i] + ny[i]
+            out[i] = (total - differ) // 2 >= np.ceil(t / (1 + t) * total - 1e-9)
+    return out
+
+
+def _possible(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    names = ["xh1", "xh2", "yh1", "yh2", "tile"]
+    for batch in batches:
+        field = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+        sizes = (field(c).to_numpy().astype(np.int64) for c in ("xn", "yn"))
+        nx, ny = sizes
+        keep = pa.array(possible(nx, field("xbits").to_pylist(), ny, field("ybits").to_pylist(), t), pa.bool_())
+        yield pa.RecordBatch.from_arrays([field(c).filter(keep) for c in names], names)
+
+
+def _least(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Each pair once, with its least tile."""
+    x, y, tile = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((tile, y, x))
+    x, y, tile = x[order], y[order], tile[order]
+    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    return pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (x, y, tile)], ["x", "y", "tile"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets that share a posted n-gram, from postings in order of n-gram and size.
+
+    Rows of the batches before are kept only as long as their n-gram goes on and
+    they aren't too small for the sets to come.
+    """
+    key, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    passed, parts, many_found = 0, [], 0  # rows of the first n-gram that aren't kept any more
     for batch in batches:
-        key, i, j = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "i", "j"))
-        blocks = []
-        for side in ("x", "y"):
-            column = batch.column(batch.schema.get_field_index(side))
-            flat = column.flatten()
-            n, h1, h2, bits = flat.flatten()
-            offsets = np.append(0, np.cumsum(column.value_lengths().to_numpy()))
-            blocks.append((offsets, n.to_numpy(), h1.to_numpy(), h2.to_numpy(), bits.to_pylist()))
-        parts = []
-        (ox, nx, xh1, xh2, bx), (oy, ny, yh1, yh2, by) = blocks
-        for r in range(batch.num_rows):
-            p, q = slice(ox[r], ox[r + 1]), slice(oy[r], oy[r + 1])
-            left, right = tile_pairs(nx[p], bx[p], ny[q], by[q], bool(i[r] == j[r]), t)
-            if len(left):
-                tile = K.mix(np.array([key[r]]).view(_U) + _U(int(i[r]) * 1_000_003 + int(j[r])))
-                parts.append((xh1[p][left], xh2[p][left], yh1[q][right], yh2[q][right], np.repeat(tile.view(np.int64), len(left))))
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["xh1", "xh2", "yh1", "yh2", "tile"])
-
-
-def set_pairs(docs: DataFrame, threshold: float, n: int, keys: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        if not batch.num_rows:
+            continue
+        old = len(key)
+        key = np.concatenate([key, batch.column(0).to_numpy()])
+        ids = np.concatenate([ids, batch.column(1).to_numpy()])
+        new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))  # equal sets come together
+        old, key, ids = int(new[:old].sum()), key[new], ids[new]
+        elem, size, late = key >> _SIZE_BITS, (key & ((1 << _SIZE_BITS) - 1)) >> 1, (key & 1).astype(bool)
+        begin = np.flatnonzero(np.append(True, elem[1:] != elem[:-1]))
+        group = np.searchsorted(begin, np.arange(len(elem)), side="right") - 1
+        rank = np.arange(len(elem)) - begin[group] + np.where(group == 0, passed, 0)
+        base = int(size.max()) + 1
+        order = group * base + size  # ascends over the rows
+        low = np.maximum(np.searchsorted(order, group * base + np.ceil(t * size - 1e-9).astype(np.int64)), begin[group])
+        at = np.arange(old, len(elem))
+        at = at[at > low[at]]
+        big = np.cumsum(at - low[at])
+        cuts = [0, *np.searchsorted(big, np.arange(1, int(big[-1] // 500_000) + 1) * 500_000).tolist(), len(at)] if len(at) else []
+        for p, q in zip(cuts, cuts[1:], strict=False):
+            if q <= p:
+                continue
+            i = at[p:q]
+            m = i - low[i]
+            y = np.repeat(i, m)
+            x = np.repeat(low[i] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            good = (ids[x] != ids[y]) & (~late[x] | ((size[x] == size[y]) & ~late[y]))
+            x, y = x[good], y[good]
+            if not len(x):
+                continue
+            tile = K.mix(elem[x].view(_U) + (rank[x] // BLOCK * 1_000_003 + rank[y] // BLOCK).view(_U)).view(np.int64)
+            parts.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), tile))
+            many_found += len(x)
+            if many_found >= _FOUND:
+                yield _least(parts)
+                parts, many_found = [], 0
+        last = max(int(low[-1]), int(begin[-1]))
+        passed, key, ids = int(rank[last]), key[last:], ids[last:]
+    if parts:
+        yield _least(parts)
+
+
+def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets of documents, first document of each set, similar pairs of sets)."""
     spark, t = docs.sparkSession, float(threshold)
     texts = columns(docs, doc_id=(id_col, "long"), text=(text_col, "string")).where("doc_id is not null and text is not null")
@@ -133,9 +167,7 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, keys: int, id_col: str,
             hashes, _, _, bounds = K.words(part.column(part.schema.get_field_index("text")))
             yield K.grams(hashes, bounds, n)[0]
 
-    counts = sketch(texts.select("text"), hashed)
-    usual = int(np.percentile(counts[counts > 0], 90)) + 1 if (counts > 0).any() else 0
-    level = spark.sparkContext.broadcast(np.maximum(counts, usual) - np.uint8(usual))
+    level = spark.sparkContext.broadcast(sketch(texts.select("text"), hashed))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,33 +177,38 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, keys: int, id_col: str,
                 some = np.flatnonzero(size)
                 if not len(some):
                     continue
-                order = (level.value[(elems >> _U(64 - BITS)).astype(np.int64)].astype(_U) << _U(58)) | (K.mix(elems) >> _U(6))
                 sums = [np.add.reduceat(K.mix(elems + _U(k)), to[:-1][some]).view(np.int64) for k in (0, 0x9E3779B97F4A7C15)]
-                first, bits = [], []
-                for i in some:
-                    own = order[to[i] : to[i + 1]]
-                    first.append(np.sort(own)[:keys] if len(own) <= keys else np.sort(np.partition(own, keys)[:keys]))
-                    bits.append(bitmap(elems[to[i] : to[i + 1]]))
-                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in first])).astype(np.int32), np.concatenate(first).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).take(pa.array(some)), pa.array(size[some].astype(np.int32)), *map(pa.array, sums), lists, pa.array(bits, pa.binary())], ["doc_id", "n", "h1", "h2", "keys", "bits"])
-
-    sets = written(texts.mapInArrow(signatures, "doc_id bigint, n int, h1 bigint, h2 bigint, keys array<bigint>, bits binary"))
+                bits = [bitmap(elems[to[i] : to[i + 1]]) for i in some]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).take(pa.array(some)), pa.array(size[some].astype(np.int32)), *map(pa.array, sums), pa.array(bits, pa.binary())], ["doc_id", "n", "h1", "h2", "bits"])
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch):
+                elems, to = gram_sets(part, n)
+                size = np.diff(to)
+                some = np.flatnonzero(size)
+                if not len(some):
+                    continue
+                size, starts = size[some], to[:-1][some]
+                ids = np.add.reduceat(K.mix(elems), starts).view(np.int64)
+                order = (level.value[(elems >> _U(64 - BITS)).astype(np.int64)].astype(_U) << _U(58)) | (K.mix(elems) >> _U(6))
+                order = order[np.lexsort((order, np.repeat(np.arange(len(some)), size)))]
+                longest = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
+                shorter = size - np.ceil(2 * t / (1 + t) * size - 1e-9).astype(np.int64) + 1
+                pos = np.arange(longest.sum()) - np.repeat(np.cumsum(longest) - longest, longest)
+                elem = order[np.repeat(starts, longest) + pos] << _U(_SIZE_BITS)
+                of = np.repeat(np.minimum(size, (1 << (_SIZE_BITS - 1)) - 1), longest) * 2 + (pos >= np.repeat(shorter, longest))
+                yield pa.RecordBatch.from_arrays([pa.array((elem | of.astype(_U)).view(np.int64)), pa.array(np.repeat(ids, longest))], ["key", "id"])
+
+    sets = written(texts.mapInArrow(signatures, "doc_id bigint, n int, h1 bigint, h2 bigint, bits binary"))
     firsts = written(sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")))
-    posts = written(sets.dropDuplicates(["h1", "h2"]).select("h1", "h2", "n", F.explode("keys").alias("key")))
-    shared = posts.groupBy("key").count().where("count > 1").select("key")
-    posts = posts.join(shared, "key")
-    bits = sets.select("h1", "h2", "bits").dropDuplicates(["h1", "h2"])
-    lists = posts.join(bits, ["h1", "h2"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "h1", "h2", "bits"))).alias("all"))
-    lists = written(lists.withColumn("blocks", F.ceil(F.size("all") / F.lit(BLOCK)).cast("int")))
-    tiles = lists.select("key", "all", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    tiles = tiles.select("key", "all", "i", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
-    block = lambda k: F.slice("all", F.col(k) * BLOCK + 1, F.lit(BLOCK))
-    tiles = tiles.select("key", "i", "j", block("i").alias("x"), block("j").alias("y"))
-    tiles = tiles.where((F.col("i") == F.col("j")) | (F.element_at("x", -1)["n"] >= F.col("y")[0]["n"] * F.lit(t) - 1e-9))
-    found = tiles.where("i = 0 and j = 0").mapInArrow(lambda b: _candidates(b, t), _TILE)
-    if lists.where("blocks > 1").limit(1).count():  # tiles of long lists are spread over all tasks
-        found = found.union(tiles.where("j > 0").repartition("key", "i", "j").mapInArrow(lambda b: _candidates(b, t), _TILE))
-    pairs = written(found.groupBy("xh1", "xh2", "yh1", "yh2").agg(F.min("tile").alias("tile")))
+    # postings of an n-gram come together, by size; candidates are found as they pass
+    posts = texts.mapInArrow(postings, "key bigint, id bigint").repartition(F.shiftright("key", _SIZE_BITS)).sortWithinPartitions("key", "id")
+    found = posts.mapInArrow(lambda b: _candidates(b, t), "x bigint, y bigint, tile bigint")
+    found = written(found.groupBy("x", "y").agg(F.min("tile").alias("tile")))
+    bits = sets.select("h1", "h2", "n", "bits").dropDuplicates(["h1", "h2"])
+    side = lambda s: bits.select(F.col("h1").alias(s), F.col("h1").alias(f"{s}h1"), F.col("h2").alias(f"{s}h2"), F.col("n").alias(f"{s}n"), F.col("bits").alias(f"{s}bits"))
+    pairs = written(found.join(side("x"), "x").join(side("y"), "y").mapInArrow(lambda b: _possible(b, t), _TILE))
 
     # the sets of the candidates are made once more, and meet in the tile of their pair
     ends = pairs.select("tile", F.col("xh1").alias("h1"), F.col("xh2").alias("h2")).union(pairs.select("tile", "yh1", "yh2"))
@@ -207,7 +244,7 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, keys: int, id_col: str,
 
     near = pairs.withColumn("bucket", bucket).groupBy("bucket").cogroup(present.groupBy("bucket")).applyInArrow(verify, "xh1 bigint, xh2 bigint, yh1 bigint, yh2 bigint, jaccard double")
     near = written(near)
-    drop_written(lists, pairs)
+    drop_written(found, pairs)
     return sets, firsts, near
 
 
@@ -230,11 +267,11 @@ def _copies(sets: DataFrame, firsts: DataFrame) -> DataFrame:
     return sets.select("doc_id", "h1", "h2").join(firsts.where("members > 1"), ["h1", "h2"]).where("doc_id <> first").select("first", "doc_id").distinct()
 
 
-def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, keys: int = KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b, jaccard), a < b, of similar documents; see the module for equal sets."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    sets, firsts, near = set_pairs(docs, threshold, n, keys, id_col, text_col)
+    sets, firsts, near = set_pairs(docs, threshold, n, id_col, text_col)
     same = _copies(sets, firsts).select(F.col("first").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
     out = _named(firsts, near).unionByName(same).groupBy("doc_id_a", "doc_id_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
     return finished(out, sets, firsts, near)
@@ -261,9 +298,9 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def later_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, keys: int = KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def later_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept): every document of a group of near duplicates but the one of lowest id, which is kept."""
-    sets, firsts, near = set_pairs(docs, threshold, n, keys, id_col, text_col)
+    sets, firsts, near = set_pairs(docs, threshold, n, id_col, text_col)
     roots = components(_named(firsts, near).select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")))
     members = _copies(sets, firsts).join(roots.select(F.col("node").alias("first"), "root"), "first", "left")
     members = members.select("doc_id", F.coalesce("root", "first").alias("kept"))

@@ -117,6 +117,29 @@ def test_long_lists_make_tiles(spark):
     assert ngram_join.later_copies(documents(spark, table)).select("kept").distinct().collect()[0][0] == 0
 
 
+def _large_groups():
+    """Groups of 120 and 15 copies, each with 4 to 8 words of its own."""
+    r = random.Random(11)
+    table = []
+    for base, many in ((0, 120), (1, 15), (2, 2)):
+        text = [f"g{base}w{k}" for k in range(90)]
+        for k in range(many):
+            w = list(text)
+            for at in r.sample(range(90), r.randint(4, 8)):
+                w[at] = f"own{base}x{k}x{at}"
+            table.append((1000 * base + k, " ".join(w)))
+    return table
+
+
+def test_ngram_join_finds_all_pairs_of_large_groups(spark):
+    table = _large_groups()
+    want = _jaccard_pairs(table, 0.45, 3)
+    got = {(a, b): j for a, b, j in rows(ngram_join.near_pairs(documents(spark, table)))}
+    assert len(want) > 5000
+    assert set(got) == set(want)
+    assert all(abs(got[p] - want[p]) < 1e-5 for p in got)
+
+
 def _removed_lines(table, t, least):
     lines = {}
     for d, text in table:
