@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -63,6 +64,7 @@ def written(df: DataFrame) -> DataFrame:
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.lectern_path = path
+    gc.collect()  # plans that only Python still holds
     spark.sparkContext._jvm.System.gc()
     return out
 

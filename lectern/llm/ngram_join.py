@@ -4,11 +4,11 @@ A document is the set of its word n-grams, as 64-bit hashes.  Equal sets are
 found by a 128-bit hash of the set.  Other pairs are found by prefix filtering:
 the n-grams of a set are ordered by rarity (coarse corpus-wide counts, then
 hash), the same order everywhere, and two sets that reach the threshold must
-share one of the first n - ceil(threshold * n) + 1 of the larger set with one of
-the first n - ceil(2 * threshold / (1 + threshold) * n) + 1 of the smaller.  All
-of these are posted; a posting that nobody shares falls away where it is sorted.
-Pairs that share one and whose sizes may reach the threshold are compared by
-parity bitmaps: the bits in which two bitmaps differ number at most the n-grams
+share k of the first n - ceil(threshold * n) + k of the larger set and of the
+first n - ceil(2 * threshold / (1 + threshold) * n) + k of the smaller.  All of
+these are posted, with k about an eighth of n; a posting that nobody shares
+falls away where it is sorted.  Pairs that share as many as the smaller set's k
+and whose sizes may reach the threshold are compared by parity bitmaps: the bits in which two bitmaps differ number at most the n-grams
 in which the sets differ, which bounds the overlap from above.  Pairs within
 the bound are verified by exact intersection of sorted arrays.
 
@@ -97,13 +97,19 @@ def _possible(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([field(c).filter(keep) for c in names], names)
 
 
+def shared_at_least(size: np.ndarray, t: float) -> np.ndarray:
+    """k of the prefixes of a set of this size; never falls as sizes grow."""
+    return np.minimum(1 + size // 8, np.ceil(t * size - 1e-9).astype(np.int64))
+
+
 def _least(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Each pair once, with its least tile."""
-    x, y, tile = (np.concatenate(c) for c in zip(*parts, strict=True))
+    """Each pair once, with its least tile, the n-grams found and those needed."""
+    x, y, tile, need = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.lexsort((tile, y, x))
-    x, y, tile = x[order], y[order], tile[order]
-    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
-    return pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (x, y, tile)], ["x", "y", "tile"])
+    x, y, tile, need = x[order], y[order], tile[order], need[order]
+    new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    hits = np.diff(np.append(new, len(x)))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[new], y[new], tile[new], hits, need[new])], ["x", "y", "tile", "hits", "need"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
@@ -145,7 +151,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Reco
             if not len(x):
                 continue
             tile = K.mix(elem[x].view(_U) + (rank[x] // BLOCK * 1_000_003 + rank[y] // BLOCK).view(_U)).view(np.int64)
-            parts.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), tile))
+            parts.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), tile, shared_at_least(size[x], t)))
             many_found += len(x)
             if many_found >= _FOUND:
                 yield _least(parts)
@@ -193,8 +199,9 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col:
                 ids = np.add.reduceat(K.mix(elems), starts).view(np.int64)
                 order = (level.value[(elems >> _U(64 - BITS)).astype(np.int64)].astype(_U) << _U(58)) | (K.mix(elems) >> _U(6))
                 order = order[np.lexsort((order, np.repeat(np.arange(len(some)), size)))]
-                longest = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
-                shorter = size - np.ceil(2 * t / (1 + t) * size - 1e-9).astype(np.int64) + 1
+                k = shared_at_least(size, t)
+                longest = size - np.ceil(t * size - 1e-9).astype(np.int64) + k
+                shorter = size - np.ceil(2 * t / (1 + t) * size - 1e-9).astype(np.int64) + k
                 pos = np.arange(longest.sum()) - np.repeat(np.cumsum(longest) - longest, longest)
                 elem = order[np.repeat(starts, longest) + pos] << _U(_SIZE_BITS)
                 of = np.repeat(np.minimum(size, (1 << (_SIZE_BITS - 1)) - 1), longest) * 2 + (pos >= np.repeat(shorter, longest))
@@ -204,8 +211,9 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col:
     firsts = written(sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")))
     # postings of an n-gram come together, by size; candidates are found as they pass
     posts = texts.mapInArrow(postings, "key bigint, id bigint").repartition(F.shiftright("key", _SIZE_BITS)).sortWithinPartitions("key", "id")
-    found = posts.mapInArrow(lambda b: _candidates(b, t), "x bigint, y bigint, tile bigint")
-    found = written(found.groupBy("x", "y").agg(F.min("tile").alias("tile")))
+    found = posts.mapInArrow(lambda b: _candidates(b, t), "x bigint, y bigint, tile bigint, hits bigint, need bigint")
+    found = written(found.groupBy("x", "y").agg(F.min("tile").alias("tile"), F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need").select("x", "y", "tile"))
+    del posts
     bits = sets.select("h1", "h2", "n", "bits").dropDuplicates(["h1", "h2"])
     side = lambda s: bits.select(F.col("h1").alias(s), F.col("h1").alias(f"{s}h1"), F.col("h2").alias(f"{s}h2"), F.col("n").alias(f"{s}n"), F.col("bits").alias(f"{s}bits"))
     pairs = written(found.join(side("x"), "x").join(side("y"), "y").mapInArrow(lambda b: _possible(b, t), _TILE))
