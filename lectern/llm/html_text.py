@@ -59,7 +59,9 @@ def page_lines(html: Column) -> Column:
     text = F.regexp_replace(F.translate(html, _CUT, " "), r"(?s)<!--.*?(?:-->|\z)", "")
     for name in HIDDEN:
         text = F.regexp_replace(text, rf"(?is)<{name}\b[^>]*>.*?(?:</{name}\s*>|\z)", "\n" if name in ("head", "select") else "")
-    text = F.regexp_replace(F.translate(text, "\r", "\n"), rf"(?i)</?(?:{BLOCKS})(?:[\s/][^>]*)?>", "\n")
+    # white space between two block tags is layout of the source, not blank lines of the page
+    text = F.regexp_replace(F.translate(text, "\r", "\n"), rf"(?i)(</?(?:{BLOCKS})(?:[\s/][^>]*)?>)\s*\n\s*(?=</?(?:{BLOCKS})(?:[\s/][^>]*)?>)", "$1")
+    text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCKS})(?:[\s/][^>]*)?>", "\n")
     text = F.regexp_replace(text, r"<[a-zA-Z/!?][^>]*>", "")
     text = _numbers(text)
     for name, char in ENTITIES.items():

@@ -149,6 +149,14 @@ def test_the_article_stays(spark):
 # top-k --------------------------------------------------------------------
 
 
+def test_html_source_layout_between_paragraphs_changes_nothing(spark):
+    paragraphs = [f"<p>Paragraph {k} " + "has words of its own. " * (2 + 3 * (k % 4)) + "</p>" for k in range(8)]
+    pages = [(k, "<body><ul><li>Home</li></ul><article>" + gap.join(paragraphs) + "</article></body>") for k, gap in enumerate(("", "\n", "\r\n\r\n  "))]
+    found = rows(html_text.main_text(spark.createDataFrame(pages, "page_id bigint, html string")))
+    assert found[0][1].count("Paragraph") == 8
+    assert [r[1:] for r in found] == [found[0][1:]] * 3
+
+
 @pytest.mark.parametrize(("many", "annulus", "width"), [(300, 16, 3), (40, 512, 64), (5, 4, 1)])
 def test_top_k_equals_brute_force(spark, many, annulus, width):
     r = np.random.default_rng(many)
