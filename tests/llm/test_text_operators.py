@@ -140,6 +140,17 @@ def test_ngram_join_finds_all_pairs_of_large_groups(spark):
     assert all(abs(got[p] - want[p]) < 1e-5 for p in got)
 
 
+def test_later_copies_of_large_groups_leave_one(spark):
+    table = _large_groups()
+    kept = dict(rows(ngram_join.later_copies(documents(spark, table)).select("doc_id", "kept")))
+    want, pairs = {}, list(_jaccard_pairs(table, 0.45, 3))
+    for _ in table:  # until nothing changes
+        for a, b in pairs:
+            want[b] = want[a] = min(want.get(a, a), want.get(b, b))
+    assert kept == {d: k for d, k in want.items() if d != k}
+    assert [kept.get(d) for d in range(1, 120)] == [0] * 119
+
+
 def _removed_lines(table, t, least):
     lines = {}
     for d, text in table:
