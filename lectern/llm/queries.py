@@ -111,22 +111,30 @@ SELECT page_id, array_to_string(list_filter(string_split(array_to_string(kept, c
 SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
 WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-s AS (
-  SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?][ \t]+|\n\s*)', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM t),
-b AS (SELECT doc_id, list_transform(s, lambda x: trim(regexp_replace(x, '\s+$', ''))) AS b FROM s WHERE len(s) >= 3),
-places AS (SELECT doc_id, b, unnest(range(len(b) - 2)) AS pos FROM b),
-spans AS (
-  SELECT doc_id, pos, b[pos + 1:pos + 3] AS k FROM places
-  WHERE list_sum(list_transform(b[pos + 1:pos + 3], lambda x: len(string_split_regex(x, '\s+')))) >= 15),
+tok AS (
+  SELECT doc_id, text, regexp_extract(text, '^[^A-Za-z0-9\x{80}-\x{10FFFF}]*') AS lead,
+    unnest(regexp_extract_all(text, '[A-Za-z0-9\x{80}-\x{10FFFF}]+[^A-Za-z0-9\x{80}-\x{10FFFF}]*')) AS x,
+    unnest(range(len(regexp_extract_all(text, '[A-Za-z0-9\x{80}-\x{10FFFF}]+')))) AS i FROM t),
+cut AS (SELECT doc_id, lead, x, i, lower(regexp_extract(x, '^[A-Za-z0-9\x{80}-\x{10FFFF}]+')) AS w, regexp_replace(x, '^[A-Za-z0-9\x{80}-\x{10FFFF}]+', '') AS gap FROM tok),
+ends AS (SELECT *, regexp_matches(gap, '\n|[.!?][ \t]') AS stop, regexp_matches(gap, '[,;:]') OR strlen(w) % 8 = 7 AS inner_stop FROM cut),
+whole AS (SELECT *, coalesce(sum(stop::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM ends),
+sized AS (SELECT *, stop OR (inner_stop AND count(*) OVER (PARTITION BY doc_id, sent) > {LONG}) AS fin FROM whole),
+parts AS (SELECT *, coalesce(sum(fin::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM sized),
+pieces AS (
+  SELECT doc_id, pos, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS words, CASE WHEN pos = 0 THEN any_value(lead) ELSE '' END || string_agg(x, '' ORDER BY i) AS piece
+  FROM parts GROUP BY doc_id, pos),
+sums AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS through FROM pieces),
+runs AS (
+  SELECT a.doc_id, a.pos, min(b.pos) AS fin FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + {SPAN} - 1 AND a.pos + {MIN_WORDS} + {SPAN} AND b.through - a.through + a.n >= {MIN_WORDS}
+  GROUP BY a.doc_id, a.pos),
+spans AS (SELECT r.doc_id, r.pos, r.fin, string_agg(p.words, ' ' ORDER BY p.pos) AS k FROM runs r JOIN pieces p ON p.doc_id = r.doc_id AND p.pos BETWEEN r.pos AND r.fin GROUP BY ALL),
 firsts AS (SELECT k, min((doc_id, pos)) AS first FROM spans GROUP BY k),
-later AS (SELECT s.doc_id, s.pos, f.first[1] AS first FROM spans s JOIN firsts f USING (k) WHERE (s.doc_id, s.pos) > f.first),
-gone AS (
-  SELECT doc_id, list_sort(list_distinct(flatten(list(range(pos, pos + 3))))) AS removed, list_sort(list_distinct(list(first))) AS first_doc_ids
-  FROM later GROUP BY doc_id)
-SELECT DISTINCT doc_id, removed::INTEGER[] AS removed, first_doc_ids, len(s)::INTEGER AS n_sentences,
-       array_to_string(list_filter(s, lambda x, i: NOT list_contains(removed, i - 1)), '') AS kept_text
-FROM s JOIN gone USING (doc_id)
-""",
+later AS (SELECT s.doc_id, s.pos, s.fin FROM spans s JOIN firsts f USING (k) WHERE (s.doc_id, s.pos) > f.first),
+gone AS (SELECT DISTINCT p.doc_id, p.pos FROM pieces p JOIN later l ON p.doc_id = l.doc_id AND p.pos BETWEEN l.pos AND l.fin)
+SELECT p.doc_id, list(p.pos::INTEGER ORDER BY p.pos) FILTER (g.pos IS NOT NULL) AS removed, count(*)::INTEGER AS n_sentences,
+       coalesce(string_agg(p.piece, '' ORDER BY p.pos) FILTER (g.pos IS NULL), '') AS kept_text
+FROM pieces p LEFT JOIN gone g USING (doc_id, pos) GROUP BY p.doc_id HAVING count(g.pos) > 0
+""".replace("{LONG}", str(substring_dedup.LONG)).replace("{SPAN}", str(substring_dedup.SPAN)).replace("{MIN_WORDS}", str(substring_dedup.MIN_WORDS)),
     "op2_ngram_jaccard_join": f"""
 WITH w AS (SELECT DISTINCT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 sets AS (

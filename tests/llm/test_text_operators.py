@@ -29,38 +29,77 @@ def _corpus(seed=5, many=40):
     return out + AWKWARD
 
 
+def _cut(text, long):
+    """Sentences as (words, characters), each up to the next one's first word."""
+    found = list(re.finditer(r"[A-Za-z0-9\u0080-\U0010ffff]+", text))
+    gaps = [text[m.end() : n.start()] for m, n in zip(found, found[1:], strict=False)]
+    whole, at = [[]], 0
+    for k in range(len(found)):
+        whole[-1].append(k)
+        if k < len(gaps) and re.search(r"\n|[.!?][ \t]", gaps[k]):
+            whole.append([])
+    begins = []
+    for part in whole:
+        for at, k in enumerate(part):
+            inner = at and len(part) > long and (re.search("[,;:]", gaps[k - 1]) or len(found[k - 1][0].lower().encode()) % 8 == 7)
+            if not at or inner:
+                begins.append(k)
+    out = []
+    for k, (a, z) in enumerate(zip(begins, [*begins[1:], len(found)], strict=False)):
+        to = found[z].start() if z < len(found) else len(text)
+        out.append(([m[0].lower() for m in found[a:z]], text[found[a].start() if k else 0 : to]))
+    return out
+
+
 def _removed_sentences(table, span, least):
-    cut = lambda t: [s for s in re.split("\1", re.sub(r"([.!?][ \t]+|\n\s*)", "\\1\1", t)) if s.strip(" ")]
-    docs = {(d, t) for d, t in table if d is not None and t is not None}
-    spans = []
-    for d, t in docs:
-        s = [x.strip() for x in cut(t)]
-        for k in range(len(s) - span + 1):
-            if sum(len(x.split()) for x in s[k : k + span]) >= least:
-                spans.append((tuple(s[k : k + span]), d, k))
+    spans, cuts = [], {}
+    for d, t in {(d, t) for d, t in table if d is not None and t is not None}:
+        s = cuts[d] = _cut(t, substring_dedup.LONG)
+        for k in range(len(s)):
+            for z in range(k + span, len(s) + 1):
+                if sum(len(x[0]) for x in s[k:z]) >= least:
+                    spans.append((tuple(w for x in s[k:z] for w in x[0]), d, k, z))
+                    break
     first = {}
-    for key, d, k in spans:
+    for key, d, k, _ in spans:
         first[key] = min(first.get(key, (d, k)), (d, k))
     gone = {}
-    for key, d, k in spans:
+    for key, d, k, z in spans:
         if (d, k) > first[key]:
-            gone.setdefault(d, set()).update(range(k, k + span))
-    return sorted((d, tuple(sorted(v))) for d, v in gone.items())
+            gone.setdefault(d, set()).update(range(k, z))
+    return sorted((d, tuple(sorted(v)), len(cuts[d]), "".join(x[1] for k, x in enumerate(cuts[d]) if k not in v)) for d, v in gone.items())
 
 
-def test_substring_dedup_equals_brute_force(spark):
-    table = _corpus()
-    found = substring_dedup.repeated_spans(clashing(documents(spark, table)))
-    assert rows(found.select("doc_id", "removed").distinct()) == _removed_sentences(table, substring_dedup.SPAN, substring_dedup.MIN_WORDS)
+@pytest.mark.parametrize("least", [12, 40])
+def test_substring_dedup_equals_brute_force(spark, least):
+    table = [(d, t) for d, t in _corpus(many=60)]
+    table += [(300, "Début: très été, " + "x" * 90_000 + " " + "one two three four five six seven eight nine ten. " * 400), (301, "é. " * 120)]
+    found = substring_dedup.repeated_spans(clashing(documents(spark, table)), min_words=least)
+    want = _removed_sentences(table, substring_dedup.SPAN, least)
+    assert len(want) > (20 if least == 12 else 2)
+    assert rows(found) == want
+
+
+def test_substring_dedup_of_a_passage_within_sentences(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
+    prose = lambda n: " ".join(word() + r.choice(["", "", "", ",", "."]) for _ in range(n))
+    passage = prose(70)
+    table = [(k, f"{prose(60)} {passage} {prose(40)}") for k in range(6)] + [(k, prose(200)) for k in range(10, 16)]
+    found = substring_dedup.repeated_spans(documents(spark, table)).collect()
+    assert {x["doc_id"] for x in found} == {1, 2, 3, 4, 5}
+    for x in found:
+        text = dict(table)[x["doc_id"]]
+        assert len(words(text)) - len(words(x["kept_text"])) in range(40, 71)
 
 
 def test_substring_dedup_keeps_the_rest_in_order(spark):
-    repeated = "One two three four five six. Seven eight nine ten eleven. Twelve and some more words here."
-    table = [(1, repeated), (2, f"Mine first. {repeated} Mine last.")]
-    found = {r["doc_id"]: r for r in substring_dedup.repeated_spans(documents(spark, table)).collect()}
-    assert set(found) == {2}
+    repeated = "One two three four five six. Seven eight nine ten eleven. Twelve and some more words here. "
+    table = [(1, repeated), (2, f"Mine first. {repeated}Mine last."), (3, f"{repeated}{repeated}"), (4, repeated.upper())]
+    found = {r["doc_id"]: r for r in substring_dedup.repeated_spans(documents(spark, table), min_words=15).collect()}
+    assert set(found) == {2, 3, 4}
     assert found[2]["kept_text"] == "Mine first. Mine last."
-    assert list(found[2]["first_doc_ids"]) == [1]
+    assert found[3]["kept_text"] == found[4]["kept_text"] == ""
 
 
 def _jaccard_pairs(table, t, n):
