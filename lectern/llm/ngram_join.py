@@ -1,25 +1,34 @@
-"""Near duplicates: an exact Jaccard join over word n-grams by prefixes and parity bitmaps.
+"""Near duplicates: an exact Jaccard join over word n-grams by size-banded tiles and parity bitmaps.
 
 A document is the set of its word n-grams, as 64-bit hashes.  Equal sets are
-found by a 128-bit hash of the set.  Other pairs are found by prefix filtering:
+found by a 128-bit hash of the set, and from there on one document, that of the
+lowest id, stands for all of them.  Other pairs are found by prefix filtering:
 the n-grams of a set are ordered by rarity (coarse corpus-wide counts, then
 hash), the same order everywhere, and two sets that reach the threshold must
 share k of the first n - ceil(threshold * n) + k of the larger set and of the
 first n - ceil(2 * threshold / (1 + threshold) * n) + k of the smaller.  All of
 these are posted, with k about an eighth of n; a posting that nobody shares
-falls away where it is sorted.  Pairs that share as many as the smaller set's k
-and whose sizes may reach the threshold are compared by parity bitmaps: the bits in which two bitmaps differ number at most the n-grams
-in which the sets differ, which bounds the overlap from above.  Pairs within
-the bound are verified by exact intersection of sorted arrays.
-
-No pair is lost but by a collision of 64-bit hashes.  All postings of one n-gram
-pass one task.
-
-Defined results: documents without an id, with null text or without words pair
-with nothing; rows that repeat an id never pair with themselves; a text of
-fewer than n words is one n-gram; of equal sets each is paired with the one of
-lowest id (Jaccard 1), which stands for all of them in other pairs; an empty
-table gives an empty result; other columns are ignored.
+falls away where it is sorted.
+
+The postings of an n-gram are a tile, sorted by the sets' sizes, in which a set
+meets only those of its size band.  An n-gram that more than ``heavy`` different
+sets post (by exact counts) is split: its sets go to blocks by their hash, and
+each two blocks are a tile of their own, so that no task gets all of a popular
+n-gram's pairs.
+
+Pairs that share as many as the smaller set's k and whose sizes may reach the
+threshold are compared by parity bitmaps: the bits in which two bitmaps differ
+number at most the n-grams in which the sets differ, which bounds the overlap
+from above.  Pairs within the bound are verified by exact intersection of sorted
+arrays.
+
+No pair is lost but by a collision of 64-bit hashes.  A group of m different near
+copies has its m * (m - 1) / 2 links verified: their number is part of the result.
+
+Defined results: documents without an id, with null text or without words link
+with nothing; rows that repeat an id never link with themselves; a text of
+fewer than n words is one n-gram; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +48,8 @@ from .rarity import BITS, sketch
 NGRAM = 3
 THRESHOLD = 0.45
 BLOCK = 256
+#: An n-gram that more different sets post is split into tiles of blocks of half as many.
+HEAVY = 8192
 _U = np.uint64
 _TILE = "xh1 bigint, xh2 bigint, yh1 bigint, yh2 bigint, tile bigint"
 #: A posting is an n-gram's hash above the set's size and, lowest, whether only a smaller set may meet it there.
@@ -118,7 +129,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Reco
     Rows of the batches before are kept only as long as their n-gram goes on and
     they aren't too small for the sets to come.
     """
-    key, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, ids, side = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
     passed, parts, many_found = 0, [], 0  # rows of the first n-gram that aren't kept any more
     for batch in batches:
         if not batch.num_rows:
@@ -126,8 +137,9 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Reco
         old = len(key)
         key = np.concatenate([key, batch.column(0).to_numpy()])
         ids = np.concatenate([ids, batch.column(1).to_numpy()])
-        new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))  # equal sets come together
-        old, key, ids = int(new[:old].sum()), key[new], ids[new]
+        side = np.concatenate([side, batch.column(2).to_numpy() if batch.num_columns > 2 else np.zeros(batch.num_rows, np.int8)])
+        new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (side[1:] != side[:-1]))  # equal sets come together
+        old, key, ids, side = int(new[:old].sum()), key[new], ids[new], side[new]
         elem, size, late = key >> _SIZE_BITS, (key & ((1 << _SIZE_BITS) - 1)) >> 1, (key & 1).astype(bool)
         begin = np.flatnonzero(np.append(True, elem[1:] != elem[:-1]))
         group = np.searchsorted(begin, np.arange(len(elem)), side="right") - 1
@@ -146,7 +158,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Reco
             m = i - low[i]
             y = np.repeat(i, m)
             x = np.repeat(low[i] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            good = (ids[x] != ids[y]) & (~late[x] | ((size[x] == size[y]) & ~late[y]))
+            good = (ids[x] != ids[y]) & (~late[x] | ((size[x] == size[y]) & ~late[y])) & ((side[x] == 0) | (side[x] != side[y]))
             x, y = x[good], y[good]
             if not len(x):
                 continue
@@ -157,12 +169,30 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Reco
                 yield _least(parts)
                 parts, many_found = [], 0
         last = max(int(low[-1]), int(begin[-1]))
-        passed, key, ids = int(rank[last]), key[last:], ids[last:]
+        passed, key, ids, side = int(rank[last]), key[last:], ids[last:], side[last:]
     if parts:
         yield _least(parts)
 
 
-def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def tiled(posts: DataFrame, popular: DataFrame, heavy: int) -> DataFrame:
+    """The postings (key, id, side), those of popular n-grams (elem, n) once for each tile of two blocks.
+
+    The side is 0 in the tile of one block with itself, else 1 or 2 for the lower
+    and the higher block.
+    """
+    if popular.limit(1).count() == 0:
+        return posts.select("key", "id", F.lit(0).cast("tinyint").alias("side"))
+    rows = sized_join(posts.withColumn("elem", F.shiftright("key", _SIZE_BITS)), popular, "elem", "left")
+    blocks = F.coalesce(F.ceil(F.col("n") * 2 / F.lit(heavy)), F.lit(1))
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+    tile = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.shiftleft(F.xxhash64("elem", pair), _SIZE_BITS).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << _SIZE_BITS) - 1))))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return rows.select(tile.alias("key"), "id", side.cast("tinyint").alias("side"))
+
+
+def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets of documents, first document of each set, similar pairs of sets)."""
     spark, t = docs.sparkSession, float(threshold)
     texts = columns(docs, doc_id=(id_col, "long"), text=(text_col, "string")).where("doc_id is not null and text is not null")
@@ -173,8 +203,6 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col:
             hashes, _, _, bounds = K.words(part.column(part.schema.get_field_index("text")))
             yield K.grams(hashes, bounds, n)[0]
 
-    level = spark.sparkContext.broadcast(sketch(texts.select("text"), hashed))
-
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch):
@@ -187,7 +215,7 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col:
                 bits = [bitmap(elems[to[i] : to[i + 1]]) for i in some]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).take(pa.array(some)), pa.array(size[some].astype(np.int32)), *map(pa.array, sums), pa.array(bits, pa.binary())], ["doc_id", "n", "h1", "h2", "bits"])
 
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def postings(batches: Iterator[pa.RecordBatch], only: bool = False) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch):
                 elems, to = gram_sets(part, n)
@@ -203,14 +231,27 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col:
                 longest = size - np.ceil(t * size - 1e-9).astype(np.int64) + k
                 shorter = size - np.ceil(2 * t / (1 + t) * size - 1e-9).astype(np.int64) + k
                 pos = np.arange(longest.sum()) - np.repeat(np.cumsum(longest) - longest, longest)
-                elem = order[np.repeat(starts, longest) + pos] << _U(_SIZE_BITS)
+                prefix = order[np.repeat(starts, longest) + pos]
+                elem = prefix << _U(_SIZE_BITS)
+                if only:  # the sketch bounds an n-gram's count from above
+                    many = (_U(1) << (prefix >> _U(58))) > _U(heavy)
+                    if many.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(elem[many].view(np.int64) >> _SIZE_BITS)], ["elem"])
+                    continue
                 of = np.repeat(np.minimum(size, (1 << (_SIZE_BITS - 1)) - 1), longest) * 2 + (pos >= np.repeat(shorter, longest))
                 yield pa.RecordBatch.from_arrays([pa.array((elem | of.astype(_U)).view(np.int64)), pa.array(np.repeat(ids, longest))], ["key", "id"])
 
     sets = written(texts.mapInArrow(signatures, "doc_id bigint, n int, h1 bigint, h2 bigint, bits binary"))
-    firsts = written(sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")))
+    own = sets.select("doc_id", "h1", "h2").distinct()  # rows that repeat an id are one document; large groups are counted in parts
+    firsts = written(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")))
+    # documents whose every set an earlier one has: their first document stands for them
+    copies = sets.select("doc_id").join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_anti").distinct()
+    single = sized_join(texts, written(copies), "doc_id", "left_anti")
+    level = spark.sparkContext.broadcast(sketch(single.select("text"), hashed))
+    popular = single.mapInArrow(lambda b: postings(b, True), "elem bigint").groupBy("elem").agg(F.count("*").alias("n")).where(F.col("n") > heavy)
     # postings of an n-gram come together, by size; candidates are found as they pass
-    posts = texts.mapInArrow(postings, "key bigint, id bigint").repartition(F.shiftright("key", _SIZE_BITS)).sortWithinPartitions("key", "id")
+    posts = tiled(single.mapInArrow(postings, "key bigint, id bigint"), written(popular), heavy)
+    posts = posts.repartition(F.shiftright("key", _SIZE_BITS)).sortWithinPartitions("key", "id")
     found = posts.mapInArrow(lambda b: _candidates(b, t), "x bigint, y bigint, tile bigint, hits bigint, need bigint")
     found = written(found.groupBy("x", "y").agg(F.min("tile").alias("tile"), F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need").select("x", "y", "tile"))
     del posts
@@ -263,11 +304,23 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
+def _ends(firsts: DataFrame, near: DataFrame) -> DataFrame:
+    """The pairs of sets with their first documents x and y, but no document with itself."""
+    side = lambda s: firsts.select(F.col("h1").alias(f"{s}h1"), F.col("h2").alias(f"{s}h2"), F.col("first").alias(s))
+    return near.join(side("x"), ["xh1", "xh2"]).join(side("y"), ["yh1", "yh2"]).where("x <> y")
+
+
 def _named(firsts: DataFrame, near: DataFrame) -> DataFrame:
     """The pairs of sets as pairs of their first documents."""
-    side = lambda s: firsts.select(F.col("h1").alias(f"{s}h1"), F.col("h2").alias(f"{s}h2"), F.col("first").alias(s))
-    both = near.join(side("x"), ["xh1", "xh2"]).join(side("y"), ["yh1", "yh2"]).where("x <> y")
-    return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard")
+    return _ends(firsts, near).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard")
+
+
+def _edges(sets: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What joins first documents: links, and rows of one id with several texts."""
+    own = sets.select("doc_id", "h1", "h2").distinct()
+    several = own.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    bound = own.join(several, "doc_id", "left_semi").join(firsts, ["h1", "h2"]).select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    return pairs.select(F.col("x").alias("u"), F.col("y").alias("v")).union(bound)
 
 
 def _copies(sets: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -275,11 +328,31 @@ def _copies(sets: DataFrame, firsts: DataFrame) -> DataFrame:
     return sets.select("doc_id", "h1", "h2").join(firsts.where("members > 1"), ["h1", "h2"]).where("doc_id <> first").select("first", "doc_id").distinct()
 
 
-def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard), a < b, of similar documents; see the module for equal sets."""
+def linked(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, copies, links) of every document that resembles another, one row each.
+
+    ``class_id`` is the lowest id of its group of near duplicates (all that links join),
+    ``copies`` counts the other documents with its set, ``links`` the other sets with a
+    Jaccard similarity of at least the threshold.  A document without either has no row.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    sets, firsts, near = set_pairs(docs, threshold, n, id_col, text_col)
+    sets, firsts, near = set_pairs(docs, threshold, n, id_col, text_col, heavy)
+    pairs = written(_ends(firsts, near))
+    roots = components(_edges(sets, firsts, pairs))
+    ends = pairs.select(F.col("xh1").alias("h1"), F.col("xh2").alias("h2")).union(pairs.select("yh1", "yh2"))
+    own = firsts.join(ends.groupBy("h1", "h2").agg(F.count("*").alias("links")), ["h1", "h2"], "left").where("links is not null or members > 1")
+    rows = sets.select("doc_id", "h1", "h2").distinct().join(own, ["h1", "h2"]).groupBy("doc_id").agg(F.min("first").alias("first"), F.sum(F.col("members") - 1).alias("copies"), F.sum(F.coalesce("links", F.lit(0))).alias("links"))
+    rows = rows.join(roots.select(F.col("node").alias("first"), "root"), "first", "left")
+    out = rows.select("doc_id", F.coalesce("root", "first").alias("class_id"), "copies", "links")
+    return finished(out, sets, firsts, near, pairs)
+
+
+def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id_a, doc_id_b, jaccard), a < b, of similar documents; of equal sets each is paired with the first, which stands for all."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must lie in (0, 1]")
+    sets, firsts, near = set_pairs(docs, threshold, n, id_col, text_col, heavy)
     same = _copies(sets, firsts).select(F.col("first").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
     out = _named(firsts, near).unionByName(same).groupBy("doc_id_a", "doc_id_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
     return finished(out, sets, firsts, near)
@@ -309,8 +382,9 @@ def components(edges: DataFrame) -> DataFrame:
 def later_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept): every document of a group of near duplicates but the one of lowest id, which is kept."""
     sets, firsts, near = set_pairs(docs, threshold, n, id_col, text_col)
-    roots = components(_named(firsts, near).select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")))
+    pairs = written(_ends(firsts, near))
+    roots = components(_edges(sets, firsts, pairs))
     members = _copies(sets, firsts).join(roots.select(F.col("node").alias("first"), "root"), "first", "left")
     members = members.select("doc_id", F.coalesce("root", "first").alias("kept"))
     out = members.union(roots).where("doc_id <> kept").groupBy("doc_id").agg(F.min("kept").alias("kept"))
-    return finished(out, sets, firsts, near)
+    return finished(out, sets, firsts, near, pairs)

@@ -24,7 +24,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_pairs(_table(spark, sf_dir, "documents"))
+    return ngram_join.linked(_table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,19 +136,22 @@ SELECT p.doc_id, list(p.pos::INTEGER ORDER BY p.pos) FILTER (g.pos IS NOT NULL)
 FROM pieces p LEFT JOIN gone g USING (doc_id, pos) GROUP BY p.doc_id HAVING count(g.pos) > 0
 """.replace("{LONG}", str(substring_dedup.LONG)).replace("{SPAN}", str(substring_dedup.SPAN)).replace("{MIN_WORDS}", str(substring_dedup.MIN_WORDS)),
     "op2_ngram_jaccard_join": f"""
-WITH w AS (SELECT DISTINCT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT DISTINCT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 sets AS (
   SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) ELSE [array_to_string(w, ' ')] END)) AS g
   FROM w WHERE len(w) > 0),
-firsts AS (SELECT g, min(doc_id) AS f, len(g) AS n, row_number() OVER () AS id FROM sets GROUP BY g),
+firsts AS (SELECT g, min(doc_id) AS f, count(*) AS members, len(g) AS n, row_number() OVER () AS id FROM sets GROUP BY g),
 grams AS (SELECT id, n, unnest(g) AS x FROM firsts),
 common AS (
   SELECT a.id AS a, b.id AS b, count(*) AS c FROM grams a JOIN grams b ON a.x = b.x AND a.id < b.id AND least(a.n, b.n) >= 0.45 * greatest(a.n, b.n) - 1e-9 GROUP BY a.id, b.id),
 pairs AS (
-  SELECT x.f AS p, y.f AS q, c / (x.n + y.n - c) AS j FROM common JOIN firsts x ON a = x.id JOIN firsts y ON b = y.id
-  WHERE c >= ceil(0.45 * (x.n + y.n - c) - 1e-9) AND x.f <> y.f
-  UNION ALL SELECT f, doc_id, 1.0::DOUBLE FROM sets JOIN firsts USING (g) WHERE doc_id <> f)
-SELECT least(p, q) AS doc_id_a, greatest(p, q) AS doc_id_b, round(max(j), 6) AS jaccard FROM pairs GROUP BY 1, 2
+  SELECT a, b, x.f AS p, y.f AS q FROM common JOIN firsts x ON a = x.id JOIN firsts y ON b = y.id WHERE c >= ceil(0.45 * (x.n + y.n - c) - 1e-9) AND x.f <> y.f),
+links AS (SELECT id, count(*) AS links FROM (SELECT a AS id FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY id),
+edges AS (SELECT p AS u, q AS v FROM pairs UNION SELECT q, p FROM pairs UNION SELECT doc_id, f FROM sets JOIN firsts USING (g) UNION SELECT f, doc_id FROM sets JOIN firsts USING (g)),
+reach AS (SELECT u, v FROM edges UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u),
+classes AS (SELECT u AS doc_id, min(v) AS class_id FROM reach GROUP BY u)
+SELECT doc_id, any_value(class_id) AS class_id, sum(members - 1)::BIGINT AS copies, sum(coalesce(links, 0))::BIGINT AS links
+FROM sets JOIN firsts USING (g) LEFT JOIN links USING (id) JOIN classes USING (doc_id) WHERE links IS NOT NULL OR members > 1 GROUP BY doc_id
 """,
     "op5_html_extraction": _html_sql(),
     "op6_exact_top_k": """

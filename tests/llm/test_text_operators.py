@@ -131,9 +131,48 @@ def test_ngram_join_equals_brute_force(spark):
     want = _jaccard_pairs(table, 0.45, 3)
     got = {(a, b): j for a, b, j in rows(ngram_join.near_pairs(clashing(documents(spark, table))))}
     assert len(want) > 50
-    assert set(got) <= set(want)
-    assert len(got) >= 0.98 * len(want)
+    assert set(got) == set(want)
     assert all(abs(got[p] - want[p]) < 1e-5 for p in got)
+    found = rows(ngram_join.linked(clashing(documents(spark, table))))
+    assert found == _linked(table, 0.45, 3)
+
+
+def _linked(table, t, n):
+    """(doc_id, class, copies, links) by brute force, for ids that aren't repeated."""
+    sets = {}
+    for d, text in table:
+        w = words(text)
+        if d is not None and w:
+            sets[d] = frozenset(zip(*(w[k:] for k in range(n)), strict=False)) if len(w) >= n else frozenset([tuple(w)])
+    near = lambda x, y: len(x & y) / len(x | y) >= t
+    root = {d: d for d in sets}
+    for _ in sets:
+        new = {d: min(root[e] for e in sets if near(sets[d], sets[e])) for d in sets}
+        if new == root:
+            break
+        root = new
+    out = []
+    for d, x in sets.items():
+        copies, links = sum(y == x for y in sets.values()) - 1, len({y for y in sets.values() if y != x and near(x, y)})
+        if copies or links:
+            out.append((d, root[d], copies, links))
+    return sorted(out, key=repr)
+
+
+def test_popular_ngrams_are_split_into_tiles(spark):
+    r = random.Random(6)
+    base = [f"t{k}" for k in range(40)]
+    table = [(k, " ".join(base[: r.randint(20, 40)] + [f"own{k}x{j}" for j in range(r.randint(0, 14))])) for k in range(70)] + [(k, f"alone{k} and more{k} words{k} here") for k in range(70, 90)]
+    table += [(200 + k, table[0][1]) for k in range(40)]  # copies count once
+    want = _linked(table, 0.45, 3)
+    assert len({x[1] for x in want}) < 5 and sum(x[3] for x in want) > 2000
+    assert rows(ngram_join.linked(documents(spark, table), heavy=12)) == want
+
+
+def test_a_repeated_id_is_one_document(spark):
+    one, two = "alpha beta gamma delta epsilon zeta", "red green blue white black gray"
+    table = [(1, one), (1, one), (1, two), (2, two), (3, one + " eta"), (4, "none of these words at all")]
+    assert rows(ngram_join.linked(documents(spark, table))) == [(1, 1, 1, 1), (2, 1, 1, 0), (3, 1, 0, 1)]
 
 
 def test_ngram_join_of_equal_sets_pairs_with_the_first(spark):
@@ -235,7 +274,7 @@ def test_documents_without_lines(spark):
     assert line_dedup.without_lines(docs, line_dedup.removed_lines(docs)).columns == docs.columns
 
 
-@pytest.mark.parametrize("operator", [substring_dedup.repeated_spans, ngram_join.near_pairs, ngram_join.later_copies, line_dedup.removed_lines])
+@pytest.mark.parametrize("operator", [substring_dedup.repeated_spans, ngram_join.near_pairs, ngram_join.linked, ngram_join.later_copies, line_dedup.removed_lines])
 def test_empty_table(spark, operator):
     assert operator(documents(spark, [])).count() == 0
     assert operator(documents(spark, AWKWARD)).count() == 0
