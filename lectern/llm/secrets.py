@@ -10,8 +10,8 @@ of which kind it is, and
   sign, and bits for its capitals (one if it begins with its only capital or has
   nothing else, else one for each letter);
 - a date: day, month and year (with 2 bits for separators), or a year alone;
-- a repeat: the cost of a unit of at most ``UNIT`` characters and log2 of how often
-  it stands here (as often as it goes from where it begins);
+- a repeat: the cost of a unit that is no repeat itself and log2 of how often it
+  stands here (as often as it goes from where it begins);
 - a keyboard walk: neighbouring keys, or following letters or digits, to where the
   walk ends: log2(47) to begin, and ``TURN_BITS`` for each straight piece and log2 of
   the length;
@@ -19,7 +19,12 @@ of which kind it is, and
 
 A value of at least ``min_bits`` is a secret; weaker ones (placeholders, words) are
 reported as such.  Word counts are taken over the whole corpus, but only those of
-words that stand in some value are gathered.
+words that stand in some value are gathered.  Words have any length: up to
+``LONGEST`` letters all stretches are looked up, above it those that are as long as
+some word of the corpus that occurs often enough.
+
+A quoted value goes to its closing quote, another one to white space or a sign that
+ends it, however long.
 
 Defined results: null ids and null texts take no part; texts without a context
 give no rows; rows that repeat an id and a text give their values once; values
@@ -45,14 +50,13 @@ from .rarity import BITS, sketch
 
 MIN_BITS = 40.0
 WORD_LEAST = 5
-SHORTEST, LONGEST = 3, 24  # letters of a word
-UNIT = 32
+SHORTEST, LONGEST = 3, 24  # letters of a word that is looked up in any case
 SEGMENT_BITS = math.log2(5)
 TURN_BITS = math.log2(6)
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "+": "t"}
-#: Understood alike by Java's and Python's regular expressions.
-CONTEXT = r"""(?i)(pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|credentials?|auth)[a-z0-9_-]{0,24}["']?[ \t]{0,3}(?::=|=>|==?|:)[ \t]{0,3}(?:bearer[ \t]{1,3})?(?:"([^"\n]{6,128})"|'([^'\n]{6,128})'|["']?([^\s"'`,;<>]{6,}))"""
-_CONTEXT = re.compile(CONTEXT)
+#: Understood alike by Java's and Python's regular expressions; linear, as what it has passed isn't tried again.
+CONTEXT = r"""(?i)(?<![a-z0-9_-])(?>[a-z0-9_-]*?(pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|credentials?|auth))[a-z0-9_-]*+["']?[ \t]*+(?::=|=>|==?|:)[ \t]*+(?:bearer[ \t]++)?(?:"([^"\n]{6,}+)"|'([^'\n]{6,}+)'|["']?([^\s"'`,;<>]{6,}+))"""
+_CONTEXT = re.compile(CONTEXT, re.ASCII)
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _SHIFT = dict(zip('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./", strict=True))
 _KEYS = {c: (y, x) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
@@ -80,17 +84,23 @@ def folded(value: str) -> str:
     return "".join(LEET.get(c, c) for c in low)
 
 
-def letter_spans(value: str) -> list[tuple[int, int]]:
-    """Stretches that may be a word: letters, or signs for some, with one real letter at least."""
+def letter_spans(value: str, lengths: tuple[int, ...] = ()) -> list[tuple[int, int]]:
+    """Stretches that may be a word: letters, or signs for some, with one real letter at least; lengths: those above LONGEST."""
     plain = folded(value)
     real = np.append(0, np.cumsum([c.isalpha() for c in value]))
     out = []
     for run in re.finditer(r"[^\W\d_]+", plain):
         for a in range(run.start(), run.end() - SHORTEST + 1):
-            out += [(a, b) for b in range(a + SHORTEST, min(run.end(), a + LONGEST) + 1) if real[b] > real[a]]
+            ends = [*range(a + SHORTEST, min(run.end(), a + LONGEST) + 1), *(a + n for n in lengths if a + n <= run.end())]
+            out += [(a, b) for b in ends if real[b] > real[a]]
     return out
 
 
+def letter_run(value: str) -> int:
+    """Letters of the longest stretch that may be a word."""
+    return max((m.end() - m.start() for m in re.finditer(r"[^\W\d_]+", folded(value))), default=0)
+
+
 def word_bits(written_as: str, count: int, total: int) -> float:
     """Bits of a word of the corpus, as it is written."""
     letters = [c for c in written_as if c.isalpha()]
@@ -143,6 +153,26 @@ def dates(value: str) -> Spans:
     return out
 
 
+def repeats(value: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size of a unit, places where such a unit begins a repeat, how often it stands there); units that are repeats are left out."""
+    codes, n = np.array([ord(c) for c in value]), len(value)
+    found: list[tuple[int, np.ndarray]] = []
+    for unit in range(1, n // 2 + 1):
+        broken = np.flatnonzero(codes[unit:] != codes[:-unit])
+        edges = np.concatenate([[-1], broken, [n - unit]])
+        if np.diff(edges).max() - 1 < unit:
+            continue
+        at = np.arange(n - unit)
+        run = edges[1:][np.searchsorted(broken, at)] - at
+        at = at[run >= unit]
+        for smaller, own in found:
+            if unit % smaller == 0:
+                at = at[own[at] < unit - smaller]
+        if len(at):
+            found.append((unit, run))
+            yield unit, at, run[at] // unit + 1
+
+
 def guess_bits(value: str, words: dict[tuple[int, int], float]) -> tuple[float, list[tuple[str, int, int]]]:
     """Least cost of the value, and its segments (kind, start, end); words: bits of the spans that are words."""
     return _cheapest(value, words, 0, {})
@@ -157,19 +187,13 @@ def _cheapest(value: str, words: dict[tuple[int, int], float], base: int, known:
     for (a, b), bits in words.items():
         if base <= a and b <= base + n:
             spans[a - base].append((b - base, bits, "word"))
-    codes = np.array([ord(c) for c in value])
-    for unit in range(1, min(UNIT, n // 2) + 1):
-        same = codes[unit:] == codes[:-unit]
-        run = 0
-        for i in range(n - unit - 1, -1, -1):
-            run = run + 1 if same[i] else 0
-            times = run // unit + 1
-            if times >= 2:
-                piece = value[i : i + unit]
-                # words within a unit are those of its place; equal units have equal ones
-                if piece not in known:
-                    known[piece] = _cheapest(piece, {k: v for k, v in words.items() if base + i <= k[0] and k[1] <= base + i + unit} if words else {}, base + i, known)[0]
-                spans[i].append((i + unit * times, known[piece] + math.log2(times), "repeat"))
+    for unit, places, times in repeats(value):
+        for i, many in zip(places.tolist(), times.tolist(), strict=True):
+            piece = value[i : i + unit]
+            # words within a unit are those of its place; equal units have equal ones
+            if piece not in known:
+                known[piece] = _cheapest(piece, {k: v for k, v in words.items() if base + i <= k[0] and k[1] <= base + i + unit} if words else {}, base + i, known)[0]
+            spans[i].append((i + unit * many, known[piece] + math.log2(many), "repeat"))
     best = [math.inf] * (n + 1)
     back: list[tuple[int, str]] = [(0, "")] * (n + 1)
     best[0] = 0.0
@@ -207,21 +231,33 @@ def guess_costs(docs: DataFrame, min_bits: float = MIN_BITS, word_least: int = W
                 d, s, c, v = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(c), pa.array(v)], ["doc_id", "start", "context", "value"])
 
-    hits = written(texts.where(F.col("text").rlike(CONTEXT)).mapInArrow(find, "doc_id bigint, start int, context string, value string").distinct())
-    values = hits.select("value").distinct()
+    hits = texts.where(F.col("text").rlike(CONTEXT)).mapInArrow(find, "doc_id bigint, start int, context string, value string").distinct()
+    hits = written(hits.withColumn("digest", F.sha2("value", 256)))
+    values = hits.select("digest", "value").distinct()
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([max(map(letter_run, batch.column(1).to_pylist()), default=0)], pa.int32())], ["n"])
+
+    most = values.mapInArrow(runs, "n int").agg(F.max("n")).collect()[0][0] or 0
+    lengths: tuple[int, ...] = ()
+    if most > LONGEST:
+        ready = texts.select(K.ready_text(F.col("text")).alias("text"))
+        longer = ready.mapInArrow(lambda batches: _long_words(batches, most), "word bigint, size int").groupBy("word", "size").agg(F.count("*").alias("n"))
+        lengths = tuple(r[0] for r in longer.where(F.col("n") >= word_least).select("size").distinct().orderBy("size").collect())  # as many as there are lengths
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                spans = letter_spans(value)
-                if not spans:
-                    continue
+            for digest, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                spans = letter_spans(value, lengths)
                 plain = folded(value)
-                hashes = K.words(pa.array([plain[a:b] + "\n" for a, b in spans]))[0]
-                a, b = zip(*spans, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([value] * len(spans)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(hashes.view(np.int64))], ["value", "a", "b", "word"])
+                for k in range(0, len(spans), 1 << 14):
+                    some = spans[k : k + (1 << 14)]
+                    hashes = K.words(pa.array([plain[a:b] + "\n" for a, b in some]))[0]
+                    a, b = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([digest] * len(some)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(hashes.view(np.int64))], ["digest", "a", "b", "word"])
 
-    spans = written(values.mapInArrow(stretches, "value string, a int, b int, word bigint"))
+    spans = written(values.mapInArrow(stretches, "digest string, a int, b int, word bigint"))
     wanted = spark.sparkContext.broadcast(sketch(spans.select("word"), lambda batch: [batch.column(0).to_numpy().view(np.uint64)]) > 0)  # of fixed size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,21 +274,36 @@ def guess_costs(docs: DataFrame, min_bits: float = MIN_BITS, word_least: int = W
     counts = written(counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("word").isNull() | (F.col("n") >= word_least)))
     total = (counts.where("word is null").agg(F.sum("n")).collect()[0][0]) or 1
     some = counts.where("word is not null").join(spans.select("word").distinct(), "word", "left_semi")
-    known = sized_join(spans, some, "word", "inner").groupBy("value").agg(F.collect_list(F.struct("a", "b", "n")).alias("words"))
-    known = values.join(known, "value", "left")
+    known = sized_join(spans, some, "word", "inner").groupBy("digest").agg(F.collect_list(F.struct("a", "b", "n")).alias("words"))  # of one value
+    known = values.join(known, "digest", "left")
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for value, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for digest, value, words in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 own = {(w["a"], w["b"]): word_bits(value[w["a"] : w["b"]], w["n"], total) for w in sorted(words or [], key=lambda w: (w["a"], w["b"]))}
                 bits, parts = guess_bits(value, own)
-                rows.append((value, round(bits, 4), " ".join(f"{kind}:{b - a}" for kind, a, b in parts)))
+                rows.append((digest, round(bits, 4), " ".join(f"{kind}:{b - a}" for kind, a, b in parts)))
             if rows:
                 v, b, p = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(b), pa.array(p)], ["value", "bits", "segments"])
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(b), pa.array(p)], ["digest", "bits", "segments"])
 
-    priced = known.select("value", "words").mapInArrow(cost, "value string, bits double, segments string")
-    out = hits.join(priced, "value")
-    out = out.select("doc_id", "start", "context", F.length("value").alias("length"), F.sha2("value", 256).alias("sha256"), "bits", "segments", (F.col("bits") >= min_bits).alias("secret"))
+    priced = known.select("digest", "value", "words").mapInArrow(cost, "digest string, bits double, segments string")
+    out = hits.join(priced, "digest")
+    out = out.select("doc_id", "start", "context", F.length("value").alias("length"), F.col("digest").alias("sha256"), "bits", "segments", (F.col("bits") >= min_bits).alias("secret"))
     return finished(out, hits, spans, counts)
+
+
+def _long_words(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(hash, characters) of the words of more than LONGEST characters, and no more than the longest stretch of a value has."""
+    for batch in batches:
+        for part in K.slices(batch):
+            text = part.column(0)
+            raw, _ = K._bytes_of(text)
+            hashes, starts, ends, _ = K.words(text)
+            at = np.flatnonzero(ends - starts > LONGEST)
+            begins = np.append(0, np.cumsum((raw & 0xC0) != 0x80))  # characters before each byte
+            size = begins[ends[at]] - begins[starts[at]]
+            some = (size > LONGEST) & (size <= most)
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at[some]].view(np.int64)), pa.array(size[some].astype(np.int32))], ["word", "size"])
