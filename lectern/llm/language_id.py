@@ -9,7 +9,9 @@ penalised likelihood: the set S with the greatest
 log L(S) - penalty * (|S| - 1) * log(1 + words).
 The likelihood of all components together bounds every set's from above, so
 that most documents are settled by one estimation; only where the bound leaves
-room are all sets tried.
+room are larger sets tried, and of these only sets whose best component at each
+word could together beat the best set so far.  Estimations go on until no
+proportion moves by more than 1e-4.
 
 The models are fitted on at most ``per_language`` labelled documents of each
 language (a sample by hash of the id; the bound is a parameter); everything
@@ -95,7 +97,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     return langs, np.log(total / total.sum(axis=2, keepdims=True)).astype(np.float32).reshape(len(langs), -1)
 
 
-def mixture(like: np.ndarray, starts: np.ndarray, allowed: np.ndarray, rounds: int = 40, settled: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def mixture(like: np.ndarray, starts: np.ndarray, allowed: np.ndarray, settled: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Proportions and log likelihood of each document under its allowed components.
 
     like: words' likelihoods [word, component], relative to their own best; starts:
@@ -107,7 +109,7 @@ def mixture(like: np.ndarray, starts: np.ndarray, allowed: np.ndarray, rounds: i
     score = np.zeros(docs)
     active = np.arange(docs)
     rows = np.arange(len(like))
-    for _ in range(rounds):
+    while True:  # likelihoods only rise, so that the steps become small
         m = n[active]
         local = np.append(0, np.cumsum(m))[:-1]
         joint = like[rows] * np.repeat(weight[active], m, axis=0)
@@ -145,21 +147,29 @@ def choose(like: np.ndarray, starts: np.ndarray, penalty: float) -> tuple[np.nda
     rows = np.concatenate([np.arange(starts[d], starts[d] + n[d]) for d in open_docs])
     local = np.append(0, np.cumsum(n[open_docs]))[:-1]
     top = score[open_docs].copy()
+    logs = np.log(np.maximum(like[rows], 1e-300))
     for size in range(2, parts + 1):
         worth = np.flatnonzero(bound[open_docs] + 1e-3 * n[open_docs] + 0.01 - price[open_docs] * (size - 1) > top)
         if not len(worth):
             break
-        some = np.concatenate([rows[local[k] : local[k] + n[open_docs[k]]] for k in worth])
-        begin = np.append(0, np.cumsum(n[open_docs[worth]]))[:-1]
+        m = n[open_docs[worth]]
+        begin = np.append(0, np.cumsum(m))[:-1]
+        at = np.repeat(local[worth] - begin, m) + np.arange(m.sum())
         for combo in itertools.combinations(range(parts), size):
+            # no mixture explains a word better than the best of its components
+            most = np.add.reduceat(logs[at][:, combo].max(axis=1), begin) - price[open_docs[worth]] * (size - 1)
+            can = np.flatnonzero(most > top[worth])
+            if not len(can):
+                continue
             mask = np.zeros(parts)
             mask[list(combo)] = 1
-            w, s = mixture(like[some], begin, np.tile(mask, (len(worth), 1)))
-            s = s - price[open_docs[worth]] * (size - 1)
-            won = s > top[worth] + 1e-9
-            top[worth[won]] = s[won]
-            chosen[open_docs[worth[won]]] = mask
-            weight[open_docs[worth[won]]] = w[won]
+            some = at[np.repeat(np.isin(np.arange(len(worth)), can), m)]
+            w, s = mixture(like[rows[some]], np.append(0, np.cumsum(m[can]))[:-1], np.tile(mask, (len(can), 1)))
+            s = s - price[open_docs[worth[can]]] * (size - 1)
+            won = s > top[worth[can]] + 1e-9
+            top[worth[can[won]]] = s[won]
+            chosen[open_docs[worth[can[won]]]] = mask
+            weight[open_docs[worth[can[won]]]] = w[won]
     return chosen, weight
 
 

@@ -179,7 +179,8 @@ def toxic_passages(docs: DataFrame, labels: DataFrame, significance: float = SIG
     total = F.aggregate("passages", F.lit(0.0), lambda acc, s: acc - F.log(s["e_value"]))
     # r segments with a sum t of normalised scores: exp(-t) t^(r - 1) / (r! (r - 1)!), in logarithms
     r = F.size("passages")
-    log_e = -F.col("t") + (r - 1) * F.log(F.greatest(F.col("t"), F.lit(1.0))) - F.log(F.factorial(F.least(r, F.lit(20)))) - F.log(F.factorial(F.least(r, F.lit(20)) - 1))
+    log_factorial = lambda m: F.aggregate(F.sequence(F.lit(0), m), F.lit(0.0), lambda acc, j: acc + F.log(F.greatest(j, F.lit(1)).cast("double")))
+    log_e = -F.col("t") + (r - 1) * F.log(F.greatest(F.col("t"), F.lit(1.0))) - log_factorial(r) - log_factorial(r - 1)
     out = hits.withColumn("t", total).select("doc_id", "n_words", "passages", F.array_max(F.transform("passages", lambda s: s["score"])).alias("max_score"), F.exp(F.least(log_e, F.log(F.array_min(F.transform("passages", lambda s: s["e_value"]))))).alias("e_value"))
     out = out.groupBy("doc_id").agg(F.min(F.struct("e_value", "n_words", "passages", "max_score")).alias("x")).select("doc_id", "x.n_words", "x.passages", "x.max_score", "x.e_value")
     return finished(out, scored)

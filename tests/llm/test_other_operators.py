@@ -1,8 +1,10 @@
 """The remaining operators against plain Python versions and held-out rows."""
 
+import hashlib
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -255,8 +257,10 @@ def _guess_by_force(value, word_bits):
     def span(a, b):
         options = [sum(secrets._CLASS.get(c, 11.0) for c in value[a:b])]
         options += [t[a, b] for t in (walk, date, word_bits) if (a, b) in t]
-        for unit in range(1, min(secrets.UNIT, (b - a) // 2) + 1):
-            times = 1
+        for unit in range(1, (b - a) // 2 + 1):
+            times, own = 1, value[a : a + unit]
+            if (own + own).find(own, 1) < unit:
+                continue  # a repeat itself
             while value[a + unit * times : a + unit * (times + 1)] == value[a : a + unit]:
                 times += 1
             if times >= 2 and a + unit * times == b:
@@ -285,6 +289,60 @@ def test_guess_bits_are_the_least():
         assert [p[1] for p in parts] == [0, *(p[2] for p in parts[:-1])] and parts[-1][2] == len(value)
 
 
+def test_guess_bits_of_long_values():
+    unit = "k7#Qz0pLw9@xVb2!mNc5%tRf8&yHg3*jDs6^eW"
+    assert len(unit) > 32
+    bits, parts = secrets.guess_bits(unit * 2, {})
+    assert [p[0] for p in parts] == ["repeat"] and abs(bits - secrets.guess_bits(unit, {})[0] - 1 - secrets.SEGMENT_BITS) < 1e-9
+    assert abs(secrets.guess_bits("x" * 5000, {})[0] - _guess_by_force("x", {}) - math.log2(5000) - secrets.SEGMENT_BITS) < 1e-9
+
+
+def _secrets_by_force(table, least):
+    """(document, place) with bits of every credential value, by whole-text regular expressions and counts."""
+    counts, total, out = {}, 0, {}
+    for d, t in table:
+        if d is not None and t is not None:
+            for w in words(t):
+                counts[w] = counts.get(w, 0) + 1
+                total += 1
+    context = re.compile(r"""(pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|credentials?|auth)[a-z0-9_-]*["']?[ \t]*(?::=|=>|==?|:)[ \t]*(?:bearer[ \t]+)?(?:"([^"\n]{6,})"|'([^'\n]{6,})'|["']?([^\s"'`,;<>]{6,}))""", re.I | re.A)
+    for d, t in table:
+        for m in context.finditer(t or "") if d is not None else ():
+            k = next(k for k in (2, 3, 4) if m[k] is not None)
+            value, own = m[k], {}
+            plain = secrets.folded(value)
+            for a, b in itertools.combinations(range(len(value) + 1), 2):
+                piece = plain[a:b]
+                if b - a >= 3 and piece.isalpha() and any(c.isalpha() for c in value[a:b]) and counts.get(piece, 0) >= least:
+                    own[a, b] = secrets.word_bits(value[a:b], counts[piece], total)
+            out[d, m.start(k)] = (value, own)
+    return out
+
+
+def test_secrets_equal_brute_force(spark):
+    r = random.Random(12)
+    long_word = "pneumonoultramicroscopicsilicovolcano"
+    prose = [(k, f"the summer garden is warm and {long_word} was never here dragon {k}") for k in range(12)]
+    pieces = ["summer", "Garden", "dragon", "1999", "2024-05-06", "qwert", "abc", "777", "X", "#k", "zQ9", "s3cret", "é"]
+    table = list(prose)
+    for k in range(40):
+        value = "".join(r.choice(pieces) for _ in range(r.randint(2, 5)))
+        key = r.choice(["password", "api_key", "auth", "DB_PASSWORD_OF_THE_VERY_LONG_SERVICE_NAME_IN_PRODUCTION", "x-token-value"])
+        table.append((100 + k, f"text before, {key}{r.choice([' = ', ': ', ' := '])}{r.choice(['', chr(34), chr(39)])}{value}"))
+    table += [(200, f"secret: {long_word}99"), (201, 'passphrase = "' + "summer garden and dragon " * 8 + '"'), (202, None), (203, "token=" + "aB3$" * 100), (None, "password: summer2024")]
+    found = {(x["doc_id"], x["start"]): x for x in secrets.guess_costs(clashing(documents(spark, table))).collect()}
+    want = _secrets_by_force(table, secrets.WORD_LEAST)
+    assert set(found) == set(want) and len(want) >= 35
+    for place, (value, own) in want.items():
+        x = found[place]
+        assert x["length"] == len(value) and x["sha256"] == hashlib.sha256(value.encode()).hexdigest()
+        bits = secrets.guess_bits(value, own)[0] if len(value) > 30 else _guess_by_force(value, own)
+        assert abs(x["bits"] - bits) < 1e-3, value
+        assert x["secret"] == (x["bits"] >= secrets.MIN_BITS)
+    assert found[200, 8]["segments"].startswith("word:37")
+    assert found[201, 14]["length"] == 200
+
+
 def test_secrets_of_documents(spark):
     common = [(k, "the summer is warm and the summer is long") for k in range(20)]
     table = [(100, 'token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"'), (101, "password: summersummer"), (102, "api_key=xxxxxxxxxxxxxxxx and PASSWORD: 'qwertyuiop'"), (103, "no context here"), (104, None), (105, ""), (None, "password: h8$Kq02!zvXm"), (106, "password: h8$Kq02!zvXm" + " x" * 50_000), (106, "password: h8$Kq02!zvXm" + " x" * 50_000)]
@@ -338,12 +396,12 @@ def test_language_set_is_the_best_of_all():
             for combo in itertools.combinations(range(parts), size):
                 mask = np.zeros((1, parts))
                 mask[0, list(combo)] = 1
-                _, score = language_id.mixture(like, np.array([0]), mask, rounds=2000, settled=1e-9)
+                _, score = language_id.mixture(like, np.array([0]), mask, settled=1e-9)
                 value = score[0] - price * (size - 1)
                 if best is None or value > best[0] + 0.05:
                     best = (value, combo)
         mask = chosen
-        _, own = language_id.mixture(like, np.array([0]), mask, rounds=2000, settled=1e-9)
+        _, own = language_id.mixture(like, np.array([0]), mask, settled=1e-9)
         assert own[0] - price * (mask.sum() - 1) >= best[0] - 0.1
 
 
