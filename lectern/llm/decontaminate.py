@@ -8,8 +8,12 @@ document's words are aligned with the item's by Smith-Waterman (match 2, mismatc
 and gap -1); the score, as a share of a full match, decides.  A window whose
 words can't reach the threshold, however arranged, is not aligned.
 
-Items are held by every task in blocks of ``block_items``; a larger benchmark takes
-one pass over the corpus for each block, so that memory doesn't grow with it.
+The windows reach as far as any alignment through a seed that scores enough: an
+item of n words can have 2 * n * (1 - threshold) words between its own.
+
+Items are held by every task in blocks of at most ``block_bytes`` of text, or of one
+item; a larger benchmark takes one pass over the corpus for each block, so that
+memory doesn't grow with it.
 
 Defined results: null ids, null texts and texts without words take no part on
 either side; items of fewer than n words are one seed; items that share an id
@@ -35,7 +39,7 @@ NGRAM = 3
 THRESHOLD = 0.5
 RARE_SHARE = 1e-3
 LEAST_SEEDS = 8
-BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 16 << 20
 _U = np.uint64
 _BITS = 20
 
@@ -111,30 +115,38 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def windows(places: np.ndarray, own: np.ndarray, length: int, words: int) -> list[tuple[int, int]]:
-    """Stretches of a document around the seeds found at places, which stand at own in the item."""
-    slack = length // 2 + 2
+def windows(places: np.ndarray, own: np.ndarray, length: int, words: int, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Stretches of a document that hold every good alignment through the seeds found at places, which stand at own in the item.
+
+    Overlapping ones are joined up to a few lengths of the item; a seed beyond begins another.
+    """
+    slack = math.ceil(2 * length * (1 - threshold)) + 1
     starts = np.sort(places - own)
     out: list[list[int]] = []
     for s in starts:
         a, b = max(0, int(s) - slack), min(words, int(s) + length + slack)
-        if out and a <= out[-1][1] and b - out[-1][0] <= 4 * length + 8:
+        if out and a <= out[-1][1] and b - out[-1][0] <= 2 * (length + 2 * slack):
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, rare_share: float = RARE_SHARE, least_seeds: int = LEAST_SEEDS, block_items: int = BLOCK_ITEMS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, rare_share: float = RARE_SHARE, least_seeds: int = LEAST_SEEDS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word) of documents that hold items."""
     spark = docs.sparkSession
     texts = columns(docs, doc_id=(id_col, "long"), text=(text_col, "string")).where("doc_id is not null and text is not null").select("doc_id", K.ready_text(F.col("text")).alias("text"))
     items = columns(benchmark, item_id=(item_col, "long"), text=(item_text_col, "string")).where("item_id is not null and text is not null").select("item_id", K.ready_text(F.col("text")).alias("text"))
-    blocks = max(1, math.ceil(items.count() / block_items))
+    items = items.distinct()
+    number, size = (lambda n: F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), F.octet_length("text").cast("long")
+    total, longest = (x or 0 for x in items.agg(F.sum(size), F.max(size)).collect()[0])
+    blocks = max(1, math.ceil(total / block_bytes))
+    while blocks > 1 and items.groupBy(number(blocks)).agg(F.sum(size).alias("n")).where(F.col("n") > max(block_bytes, longest)).limit(1).count():
+        blocks *= 2
     most = max(10.0, rare_share * texts.count())
     out = None
     for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        block = items if blocks == 1 else items.where(number(blocks) == k)
         found = _block(spark, texts, block.toArrow(), most, threshold, n, least_seeds)
         out = found if out is None else out.union(found)
     out = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("a"), (-F.col("end_word")).alias("b"))).alias("x"))
@@ -144,7 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def _block(spark, texts: DataFrame, items: pa.Table, most: float, threshold: float, n: int, least_seeds: int) -> DataFrame:
     seeds = Seeds(items["text"].combine_chunks() if items.num_rows else pa.array([], pa.string()), n)
     ids = items["item_id"].to_numpy()
-    held = spark.sparkContext.broadcast(seeds)  # block_items items at most
+    held = spark.sparkContext.broadcast(seeds)  # of block_bytes of text, or of one item
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
@@ -188,7 +200,7 @@ def _block(spark, texts: DataFrame, items: pa.Table, most: float, threshold: flo
                 for a, b in zip(cut, np.append(cut[1:], len(at)), strict=True):
                     d, i = row[a], int(item[a])
                     doc, own = hashes[bounds[d] : bounds[d + 1]], known.words[i]
-                    for first, end in windows(at[a:b] - to[d], known.place[spot[a:b]], len(own), len(doc)):
+                    for first, end in windows(at[a:b] - to[d], known.place[spot[a:b]], len(own), len(doc), threshold):
                         window = doc[first:end]
                         if np.isin(own, window).sum() >= threshold * len(own):  # its words alone could reach the score
                             todo.setdefault(i, []).append((int(d), first, window))
