@@ -40,7 +40,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k.top_k(_table(spark, sf_dir, "embeddings"))
+    return top_k.top_k(_table(spark, sf_dir, "embeddings"), every=20, group=64)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +156,7 @@ FROM sets JOIN firsts USING (g) LEFT JOIN links USING (id) JOIN classes USING (d
     "op5_html_extraction": _html_sql(),
     "op6_exact_top_k": """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-pairs AS (SELECT a.vec_id AS vec_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+pairs AS (SELECT a.vec_id AS vec_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
 SELECT vec_id, rank::INTEGER AS rank, neighbor_id, round(distance, 6) AS distance FROM ranked WHERE rank <= 10
 """,

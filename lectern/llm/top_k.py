@@ -1,4 +1,7 @@
-"""Exact top-k search of every vector among all others, over a pivot-distance index.
+"""Exact top-k search of vectors among all others, over a pivot-distance index.
+
+Queries are the vectors whose id is divisible by ``every`` (1: all of them); every
+vector is in the index.
 
 Vectors are keyed by their nearest pivot and their distance to it; the vectors of
 a pivot in order of distance are cut into annuli of at most ``annulus`` vectors.
@@ -14,8 +17,10 @@ is.  Within an annulus, distances by matrix products only choose candidates
 (with some slack); those are measured again from the differences.
 
 The pivots are the means of a k-means of a sample of ``PIVOT_SAMPLE`` vectors for
-each pivot; pivots number the square root of the vectors, divided by 4.  They
-decide how much is skipped, never what is found.
+each pivot; pivots number the square root of the vectors, divided by 4, and
+``PIVOTS`` at most, so that the sample is bounded.  They decide how much is skipped,
+never what is found.  Annuli hold ``annulus`` vectors, or the vectors divided by
+``ANNULI`` where that is more, so that their table of bounds is bounded, too.
 
 Defined results: rows without an id, and those whose vector is null, holds a null
 or no finite number, or has not the most frequent dimension (the lower of two)
@@ -42,6 +47,8 @@ ANNULUS = 512
 GROUP = 16  # annuli of queries in a group
 WIDTH = 64
 PIVOT_SAMPLE = 32
+PIVOTS = 1024
+ANNULI = 1 << 16
 _STATE = "grp bigint, ids binary, vecs binary, best_d binary, best_id binary, cursor int, todo array<int>"
 
 
@@ -122,10 +129,10 @@ def _matrix(data: bytes, width: int, kind: type = np.float64) -> np.ndarray:
     return np.frombuffer(data, kind).reshape(-1, width).copy()
 
 
-def top_k(vectors: DataFrame, k: int = K, annulus: int = ANNULUS, group: int = GROUP, width: int = WIDTH, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, k: int = K, annulus: int = ANNULUS, group: int = GROUP, width: int = WIDTH, every: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, rank, neighbor_id, distance), rank from 1 to k, by Euclidean distance."""
-    if k < 1 or annulus < 1 or group < 1 or width < 1:
-        raise ValueError("k, annulus, group and width must be 1 at least")
+    if min(k, annulus, group, width, every) < 1:
+        raise ValueError("k, annulus, group, width and every must be 1 at least")
     spark = vectors.sparkSession
     schema = "vec_id bigint, rank int, neighbor_id bigint, distance double"
     rows = columns(vectors, vec_id=(id_col, "long"), v=(vector_col, "array<double>"))
@@ -136,10 +143,11 @@ def top_k(vectors: DataFrame, k: int = K, annulus: int = ANNULUS, group: int = G
         return spark.createDataFrame([], schema)
     dim, n = sizes[0]["n"], sizes[0]["count"]
     rows = rows.where(F.col("n") == dim)
-    many = max(1, math.ceil(math.sqrt(n) / 4))
+    many = min(PIVOTS, max(1, math.ceil(math.sqrt(n) / 4)))
+    annulus = max(annulus, math.ceil(n / ANNULI))
     sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(many * PIVOT_SAMPLE).collect()], np.float64)
     pivots = means(sample, min(many, len(sample)))
-    shared = spark.sparkContext.broadcast(pivots)  # grows as the square root of the input
+    shared = spark.sparkContext.broadcast(pivots)  # PIVOTS at most
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +168,7 @@ def top_k(vectors: DataFrame, k: int = K, annulus: int = ANNULUS, group: int = G
         return pa.table({"pivot": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "lo": [float(r.min())], "hi": [float(r.max())], "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "vecs": pa.array([b"".join(table["vec"].to_pylist())], pa.binary())})
 
     rings = written(keyed.groupBy("pivot", "part").applyInArrow(ring, "pivot int, part int, lo double, hi double, ids binary, vecs binary"))
-    # one row for each annulus: the input's rows divided by its size
+    # one row for each annulus: ANNULI and PIVOTS at most
     index = sorted((r["pivot"], r["part"], r["lo"], r["hi"]) for r in rings.select("pivot", "part", "lo", "hi").collect())
     number = spark.createDataFrame([(p, q, i) for i, (p, q, _, _) in enumerate(index)], "pivot int, part int, ring int")
     where, _, lo, hi = (np.array(c) for c in zip(*index, strict=True))
@@ -181,6 +189,7 @@ def top_k(vectors: DataFrame, k: int = K, annulus: int = ANNULUS, group: int = G
         table = table.sort_by("ring")
         ids = np.frombuffer(b"".join(table["ids"].to_pylist()), np.int64)
         vecs = _matrix(b"".join(table["vecs"].to_pylist()), dim)
+        ids, vecs = ids[ids % every == 0], vecs[ids % every == 0]
         return packed_state(key[0].as_py(), State(ids, vecs, np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)), 0)
 
     def expand(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
