@@ -6,7 +6,10 @@ threshold with it.  Equal sets are found by a 128-bit hash of the set; other
 pairs by prefix filtering: the words of a set are ordered by rarity over the
 whole corpus, and two similar sets must share one of their first, rarest words.
 Length and positional bounds, and bitwise parities of the sets, discard pairs
-before their exact verification.
+before their exact verification.  Equal sets post once, whatever their number.  A
+word that more than ``heavy`` different sets post (by exact counts) is split: its
+sets go to blocks by their hash, and each two blocks meet in a tile of their own, so
+that no task gets all pairs of a frequent word.
 
 Lines with fewer than ``min_tokens`` different words always stay.
 
@@ -34,6 +37,8 @@ from .rarity import BITS, sketch
 
 THRESHOLD = 0.9
 MIN_TOKENS = 3
+#: A word that more different sets post is split into tiles of blocks of half as many.
+HEAVY = 8192
 _U = np.uint64
 
 
@@ -89,7 +94,20 @@ def parities(elem: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(_U(1) << (K.mix(elem + _U(1)) & _U(63)), b[:-1]).view(np.int64)
 
 
-def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tiled(posts: DataFrame, heavy: int) -> DataFrame:
+    """The postings with a side: 0 in the tile of one block with itself, else 1 or 2 for the lower and the higher block."""
+    popular = written(posts.groupBy("elem").agg(F.count("*").alias("many")).where(F.col("many") > heavy))
+    if popular.limit(1).count() == 0:
+        return posts.withColumn("side", F.lit(0))
+    rows = sized_join(posts, popular, "elem", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("many") * 2 / F.lit(heavy)), F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    tile = F.when(F.col("blocks") == 1, F.col("elem")).otherwise(F.xxhash64("elem", pair))
+    return rows.select(tile.alias("elem"), *(c for c in posts.columns if c != "elem"), side.alias("side"))
+
+
+def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, first_doc_id, first_line_no, jaccard) of every line that goes.
 
     ``line_no`` counts from 0 over the text split at newlines; first_* is the
@@ -126,7 +144,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int
     groups = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), *same))
     # postings of an element come together, by size; candidates are found as they pass
     posts = groups.where("index > 0").select("h1", "h2", "bits", "n", "index", "prefix").mapInArrow(_postings, "elem bigint, h1 bigint, h2 bigint, bits bigint, n int, pos int, index int")
-    posts = posts.repartition("elem").sortWithinPartitions("elem", "n")
+    posts = tiled(posts, heavy).repartition("elem").sortWithinPartitions("elem", "n")
     pairs = posts.mapInArrow(lambda batches: _candidates(batches, t), "xh1 bigint, xh2 bigint, yh1 bigint, yh2 bigint").distinct()
     pairs = written(pairs.select(F.struct(F.col("xh1").alias("h1"), F.col("xh2").alias("h2")).alias("x"), F.struct(F.col("yh1").alias("h1"), F.col("yh2").alias("h2")).alias("y")))
     # the sets of the candidates are made once more, from the documents that hold them
@@ -195,14 +213,14 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Reco
     Rows of the batches before are kept only as long as their element goes on and
     they aren't too small for the sets to come.
     """
-    names = ["elem", "h1", "h2", "bits", "n", "pos", "index"]
+    names = ["elem", "h1", "h2", "bits", "n", "pos", "index", "side"]
     kept = [np.zeros(0, np.int64) for _ in names]
     for batch in batches:
         if not batch.num_rows:
             continue
         old = len(kept[0])
         rows = [np.concatenate([k, batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64)]) for k, c in zip(kept, names, strict=True)]
-        elem, h1, h2, bits, n, pos, index = rows
+        elem, h1, h2, bits, n, pos, index, side = rows
         at = np.arange(old, len(elem))
         # each row looks back: at rows of its element that are large enough
         begin = np.flatnonzero(np.append(True, elem[1:] != elem[:-1]))
@@ -221,6 +239,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Reco
                     continue
                 y = np.repeat(i[p:q], m)
                 x = np.repeat(lo[p:q] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                meet = (side[x] == 0) | (side[x] != side[y])
+                x, y = x[meet], y[meet]
                 x, y = _possible(x, y, h1, h2, bits, n, pos, index, t)
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h1[x], h2[x], h1[y], h2[y])], ["xh1", "xh2", "yh1", "yh2"])

@@ -264,6 +264,18 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == _removed_lines(table, 0.9, 3)
 
 
+def test_frequent_words_are_split_into_tiles(spark):
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(24)]
+    table = []
+    for k in range(150):  # templates with one rare word each: all share their other words
+        w = [x for x in base if r.random() < 0.97] + ([f"own{k}"] if k % 2 else [])
+        table.append((k, " ".join(w) + f"\nalone{k} is line{k} number{k}"))
+    want = _removed_lines(table, 0.9, 3)
+    got = {(d, k): (a, b) for d, k, a, b, _ in rows(line_dedup.removed_lines(documents(spark, table), heavy=10))}
+    assert got == want and len(want) > 60
+
+
 def test_documents_without_lines(spark):
     table = [(1, "a b c d\nrest of one"), (2, "a b c d\nmore of the two"), (3, "A B C D"), (4, None), (None, "a b c d"), (5, "")]
     docs = documents(spark, table)
