@@ -51,7 +51,7 @@ BLOCK = 256
 #: An n-gram that more different sets post is split into tiles of blocks of half as many.
 HEAVY = 8192
 _U = np.uint64
-_TILE = "xh1 bigint, xh2 bigint, yh1 bigint, yh2 bigint, tile bigint"
+_TILE = "xh1 bigint, xh2 bigint, yh1 bigint, yh2 bigint, tile int"
 #: A posting is an n-gram's hash above the set's size and, lowest, whether only a smaller set may meet it there.
 _SIZE_BITS = 24
 _FOUND = 1 << 20
@@ -113,14 +113,32 @@ def shared_at_least(size: np.ndarray, t: float) -> np.ndarray:
     return np.minimum(1 + size // 8, np.ceil(t * size - 1e-9).astype(np.int64))
 
 
-def _least(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Each pair once, with its least tile, the n-grams found and those needed."""
-    x, y, tile, need = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((tile, y, x))
-    x, y, tile, need = x[order], y[order], tile[order], need[order]
-    new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-    hits = np.diff(np.append(new, len(x)))
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[new], y[new], tile[new], hits, need[new])], ["x", "y", "tile", "hits", "need"])
+class _Found:
+    """Pairs each once, with their least tile, the n-grams found and those needed."""
+
+    def __init__(self) -> None:
+        self.held = tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int32, np.int32, np.int32))
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.many = 0
+
+    def add(self, x: np.ndarray, y: np.ndarray, tile: np.ndarray, need: np.ndarray) -> None:
+        self.parts.append((x, y, tile, np.ones(len(x), np.int32), need))
+        self.many += len(x)
+        if self.many >= _FOUND:
+            self.merge()
+
+    def merge(self) -> None:
+        x, y, tile, hits, need = (np.concatenate(c) for c in zip(self.held, *self.parts, strict=True))
+        order = np.lexsort((tile, y, x))
+        x, y, tile, hits, need = x[order], y[order], tile[order], hits[order], need[order]
+        new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.zeros(0, np.int64)
+        self.held = x[new], y[new], tile[new], np.add.reduceat(hits, new).astype(np.int32) if len(x) else hits, need[new]
+        self.parts, self.many = [], 0
+
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c) for c in self.held], ["x", "y", "tile", "hits", "need"])
+        self.held = tuple(c[:0] for c in self.held)
+        return out
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
@@ -130,7 +148,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Reco
     they aren't too small for the sets to come.
     """
     key, ids, side = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
-    passed, parts, many_found = 0, [], 0  # rows of the first n-gram that aren't kept any more
+    passed, found = 0, _Found()  # passed: rows of the first n-gram that aren't kept any more
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -162,16 +180,15 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Reco
             x, y = x[good], y[good]
             if not len(x):
                 continue
-            tile = K.mix(elem[x].view(_U) + (rank[x] // BLOCK * 1_000_003 + rank[y] // BLOCK).view(_U)).view(np.int64)
-            parts.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), tile, shared_at_least(size[x], t)))
-            many_found += len(x)
-            if many_found >= _FOUND:
-                yield _least(parts)
-                parts, many_found = [], 0
+            tile = (K.mix(elem[x].view(_U) + (rank[x] // BLOCK * 1_000_003 + rank[y] // BLOCK).view(_U)) >> _U(33)).astype(np.int32)
+            found.add(np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), tile, shared_at_least(size[x], t).astype(np.int32))
+            if len(found.held[0]) >= _FOUND:
+                yield found.batch()
         last = max(int(low[-1]), int(begin[-1]))
         passed, key, ids, side = int(rank[last]), key[last:], ids[last:], side[last:]
-    if parts:
-        yield _least(parts)
+    found.merge()
+    if len(found.held[0]):
+        yield found.batch()
 
 
 def tiled(posts: DataFrame, popular: DataFrame, heavy: int) -> DataFrame:
@@ -252,7 +269,7 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col:
     # postings of an n-gram come together, by size; candidates are found as they pass
     posts = tiled(single.mapInArrow(postings, "key bigint, id bigint"), written(popular), heavy)
     posts = posts.repartition(F.shiftright("key", _SIZE_BITS)).sortWithinPartitions("key", "id")
-    found = posts.mapInArrow(lambda b: _candidates(b, t), "x bigint, y bigint, tile bigint, hits bigint, need bigint")
+    found = posts.mapInArrow(lambda b: _candidates(b, t), "x bigint, y bigint, tile int, hits int, need int")
     found = written(found.groupBy("x", "y").agg(F.min("tile").alias("tile"), F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need").select("x", "y", "tile"))
     del posts
     bits = sets.select("h1", "h2", "n", "bits").dropDuplicates(["h1", "h2"])

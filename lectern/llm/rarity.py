@@ -8,6 +8,7 @@ size of the input.  Buckets that tokens share only make the order coarser.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,28 +20,32 @@ _SLICE = 16  # a row of the result covers 2**16 buckets
 
 
 def sketch(df: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BITS) -> np.ndarray:
-    """uint8 array of 2**bits: 1 + floor(log2(count)) of each bucket, 0 if empty."""
+    """uint8 array of 2**bits: 1 + floor(log2(count)) of each bucket, 0 if empty.
+
+    A task sends its counts as packed slices, not as a row for each bucket.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
+        total = np.zeros(1 << bits, np.uint64)
         for batch in batches:
             for hashes in tokens(batch):
                 np.add.at(total, (hashes >> np.uint64(64 - bits)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 1 << 16):
-            part = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array((part >> _SLICE).astype(np.int32)), pa.array((part & 0xFFFF).astype(np.int32)), pa.array(total[part].astype(np.int64))], ["slice", "bucket", "n"])
-
-    def classes(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << _SLICE, np.int64)
-        np.add.at(total, table["bucket"].to_numpy(), table["n"].to_numpy())
+        for k in range(1 << (bits - _SLICE)):
+            part = total[k << _SLICE : (k + 1) << _SLICE]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "counts"])
+
+    def classes(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << _SLICE, np.uint64)
+        for batch in tables:
+            for part in batch.column(batch.schema.get_field_index("counts")):
+                total += np.frombuffer(zlib.decompress(part.as_py()), np.uint64)
         level = np.zeros(1 << _SLICE, np.uint8)
         some = total > 0
         level[some] = 1 + np.floor(np.log2(total[some])).astype(np.uint8)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["slice", "level"])
 
-    parts = df.mapInArrow(count, "slice int, bucket int, n bigint").groupBy("slice", "bucket").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
     out = np.zeros(1 << bits, np.uint8)
-    for row in parts.groupBy("slice").applyInArrow(classes, "slice int, level binary").collect():  # 2**(bits - 16) rows
+    for row in df.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(classes, "slice int, level binary").collect():  # 2**(bits - 16) rows
         out[row["slice"] << _SLICE : (row["slice"] + 1) << _SLICE] = np.frombuffer(row["level"], np.uint8)
     return out
