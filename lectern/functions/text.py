@@ -162,7 +162,7 @@ def diagnostics_line(codes: Column, limit: int = 6) -> Column:
         raise ValueError("limit must be 1 at least")
 
     def group(name: str, mark: str, arrow: bool = False) -> Column:
-        own = F.transform(F.filter(codes, lambda c: c.startswith(f"{mark}:")), lambda c: F.substring(c, 3, 10_000))
+        own = F.transform(F.filter(codes, lambda c: c.startswith(f"{mark}:")), lambda c: c.substr(F.lit(3), F.length(c)))
         shown = F.transform(own, lambda c: F.regexp_replace(c, "^([^/]*)/", "$1→")) if arrow else own
         more = F.when(F.size(own) > limit, F.concat(F.lit(" +"), (F.size(own) - limit).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
         return F.when(F.size(own) > 0, F.concat(F.lit(f"{name}: "), F.array_join(F.slice(shown, 1, limit), ", "), more))
@@ -170,6 +170,16 @@ def diagnostics_line(codes: Column, limit: int = 6) -> Column:
     return F.concat_ws(" · ", group("missing", "d"), group("inserted", "i"), group("substituted", "s", True))
 
 
+def bench_normalized(text: Column) -> Column:
+    """Lower case without punctuation, as probes compare transcripts."""
+    return stripped(F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+
+
+def recovered(transcript: Column, pattern: Column) -> Column:
+    """Whether the transcript shows the term that the pattern stands for."""
+    return F.coalesce(F.rlike(bench_normalized(transcript), pattern), F.lit(False))
+
+
 def probe_verdict(raw_ok: Column, respelled_ok: Column) -> Column:
     """What to do with a lexicon entry, by whether each spelling was recognised."""
     return F.when(raw_ok & respelled_ok, "optional").when(respelled_ok, "keep").when(raw_ok, "drop").otherwise("rework")

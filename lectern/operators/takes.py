@@ -75,15 +75,21 @@ def audio_digest(audio: Column) -> Column:
     return F.sha2(F.array_join(F.transform(audio, lambda x: F.hex(x.cast("double").cast("string"))), ","), 256)
 
 
-def valid(takes: DataFrame, sample_rate: int, with_audio: bool = True) -> DataFrame:
-    """The takes that can be used; any defect makes a take as good as none."""
+def valid(takes: DataFrame, sample_rate: int, with_audio: bool = True, tie: str | None = None) -> DataFrame:
+    """The takes that can be used, the latest of each key; any defect makes a take as good as none.
+
+    Of takes written at once the one of the greatest digest counts, or of the greatest
+    ``tie``.  The latest is found by key, time and digest alone, so that no audio is sorted.
+    """
     good = takes.where((F.col("format") == FORMAT) & (F.col("sample_rate") == sample_rate) & F.col("key").isNotNull())
     for field in ("text", "duration_s", "coverage", "dropped_sentence", "transcript", "recovered_by", "word_diagnostics", "attempts"):
         good = good.where(F.col(field).isNotNull())
     if with_audio:
         good = good.where(F.col("audio").isNotNull() & (audio_digest(F.col("audio")) == F.col("digest")))
-    latest = Window.partitionBy("key").orderBy(F.desc("written_at"))
-    return good.withColumn("latest", F.row_number().over(latest)).where("latest = 1").drop("latest")
+    order = F.struct(F.col("written_at").alias("a"), F.col(tie or "digest").alias("b"))
+    latest = good.groupBy("key").agg(F.max(order).alias("latest"))
+    found = good.withColumn("latest", order).join(latest, ["key", "latest"]).drop("latest")
+    return found if tie else found.dropDuplicates(["key", "written_at", "digest"])
 
 
 def lookup(chunks: DataFrame, takes: DataFrame, reroll: Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -131,9 +131,9 @@ def rising_questions(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", L.wants_rise(F.col("text"), "en", SynthConfig(rising="yes_no_question")).alias("rising"))
 
 
-@_query("SELECT doc_id, CASE WHEN n > 0 THEN 'missing: ' || array_to_string(w[1:6], ', ') || CASE WHEN n > 6 THEN ' +' || (n - 6) || ' more' ELSE '' END ELSE '' END AS line FROM (SELECT doc_id, " + _TOKENS + "[1:doc_id % 9] AS w, len(" + _TOKENS + "[1:doc_id % 9]) AS n FROM documents)")
+@_query("SELECT doc_id, CASE WHEN n > 0 THEN 'missing: ' || array_to_string(w[1:6], ', ') || CASE WHEN n > 6 THEN ' +' || (n - 6) || ' more' ELSE '' END ELSE '' END AS line FROM (SELECT doc_id, " + _TOKENS + " AS w, len(" + _TOKENS + ") AS n FROM documents)")
 def diagnostics_lines(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").select("doc_id", F.slice(T.tokens(F.col("text"), F.col("lang")), F.lit(1), (F.col("doc_id") % 9).cast("int")).alias("w"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text"), F.col("lang")).alias("w"))
     return rows.select("doc_id", T.diagnostics_line(F.transform("w", lambda w: F.concat(F.lit("d:"), w))).alias("line"))
 
 
@@ -301,10 +301,49 @@ def first_takes(spark, sf_dir):
     return K.first_of_key(rows)[0].select("doc_id", "key")
 
 
-@_query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+_EVENT_TAKES = """takes AS (SELECT 'k' || user_id AS key, event_id, ts, (event_id % 13 <> 0) AND (event_id % 17 <> 0) AND (event_id % 19 <> 0) AND (event_id % 23 <> 0) AND (event_id % 29 <> 0) AS good FROM events)"""
+
+
+def _takes(spark, sf_dir):
+    """Takes of a store, one for each event: some of another format or rate, some without a field, some with damaged audio."""
+    e = F.col("event_id")
+    audio = F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: ((e % 100 + k) / 256).cast("float"))
+    rows = _t(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(e % 13 == 0, K.FORMAT - 1).otherwise(K.FORMAT).alias("format"),
+        F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"),
+        F.when(e % 17 == 0, 8000).otherwise(P.RATE).alias("sample_rate"),
+        audio.alias("audio"),
+        F.when(e % 19 == 0, None).otherwise(F.col("event_type")).alias("transcript"),
+        F.when(e % 23 == 0, None).otherwise(F.lit(1.0)).alias("coverage"),
+        F.lit("").alias("dropped_sentence"),
+        F.when(e % 3 == 0, "sentence-split").otherwise("").alias("recovered_by"),
+        F.array().cast("array<string>").alias("word_diagnostics"),
+        F.col("event_type").alias("text"),
+        F.lit(3 / P.RATE).alias("duration_s"),
+        F.lit(1).alias("attempts"),
+        F.col("ts").alias("written_at"),
+    )
+    digest = K.audio_digest(F.col("audio"))
+    return rows.withColumn("digest", F.when(e % 29 == 0, F.sha2(digest, 256)).otherwise(digest))
+
+
+@_query(f"WITH {_EVENT_TAKES} SELECT key, event_id FROM takes WHERE good QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) = 1")
 def reroll_latest(spark, sf_dir):
-    last = F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("x")
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(last).select("user_id", "x.event_id", "x.event_type")
+    """Of the takes under a key the latest that is in order."""
+    return K.valid(_takes(spark, sf_dir), P.RATE, tie="event_id").select("key", "event_id")
+
+
+@_query(f"WITH {_EVENT_TAKES}, v AS (SELECT * FROM takes WHERE good QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) = 1) SELECT key FROM v WHERE event_id % 3 <> 0")
+def usable_takes(spark, sf_dir):
+    """Takes put together from sentences don't count once rising ends are wanted."""
+    return K.valid(_takes(spark, sf_dir), P.RATE, tie="event_id").where(K.usable_under(SynthConfig(rising="yes_no_question"))).select("key")
+
+
+@_query(f"WITH {_EVENT_TAKES}, v AS (SELECT DISTINCT key FROM takes WHERE good), u AS (SELECT DISTINCT 'k' || user_id AS key FROM events WHERE event_type = 'purchase' AND event_id % 2 = 0) SELECT count(*) AS usable, count(u.key) AS used FROM v LEFT JOIN u USING (key)")
+def take_usage(spark, sf_dir):
+    used = _t(spark, sf_dir, "events").where("event_type = 'purchase' and event_id % 2 = 0").select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"))
+    return K.usage(K.valid(_takes(spark, sf_dir), P.RATE, tie="event_id"), used)
 
 
 # evaluation ----------------------------------------------------------------
@@ -406,21 +445,26 @@ def engine_scorecard(spark, sf_dir):
 # audio ---------------------------------------------------------------------
 
 
-@_query("SELECT vec_id, list_transform(embedding, lambda x: round((x * power(10.0, (vec_id % 7 - 3) / 20.0))::DOUBLE, 4)) AS audio FROM embeddings WHERE vec_id % 7 <> 3 UNION ALL SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 4)) FROM embeddings WHERE vec_id % 7 = 3")
-def gain_scaled(spark, sf_dir):
-    return _t(spark, sf_dir, "embeddings").select("vec_id", _rounded(A.gained(F.col("embedding"), (F.col("vec_id") % 7 - 3).cast("double"))).alias("audio"))
+def _rounded(audio):
+    """To 4 places, without negative zeros."""
+    return F.transform(audio, lambda x: F.when(F.abs(x) < 5e-5, 0.0).otherwise(F.round(x.cast("double"), 4)))
 
 
-def _rounded(audio):
-    return F.transform(audio, lambda x: F.round(x.cast("double"), 4))
+def _r4(x: str) -> str:
+    return f"(CASE WHEN abs(({x})::FLOAT) < 5e-5 THEN 0.0::DOUBLE ELSE round(({x})::FLOAT::DOUBLE, 4) END)"
 
 
-@_query("SELECT vec_id, list_transform(embedding, lambda x: round((CASE WHEN abs(x) <= 0.08 THEN x ELSE sign(x) * (0.08 + 0.02 * tanh((abs(x) - 0.08) / 0.02)) END)::DOUBLE, 4)) AS audio FROM embeddings")
+@_query(f"SELECT vec_id, list_transform(embedding, lambda x: {_r4('x * power(10.0, (vec_id % 7 - 3) / 20.0)')}) AS audio FROM embeddings")
+def gain_scaled(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select("vec_id", _rounded(A.gained(F.col("embedding"), (F.col("vec_id") % 7 - 3).cast("double"))).alias("audio"))
+
+
+@_query(f"SELECT vec_id, list_transform(embedding, lambda x: {_r4('CASE WHEN abs(x) <= 0.08 THEN x ELSE sign(x) * (0.08 + 0.02 * tanh((abs(x::DOUBLE) - 0.08) / 0.02)) END')}) AS audio FROM embeddings")
 def soft_limited(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select("vec_id", _rounded(A.limited(F.col("embedding"), 0.1)).alias("audio"))
 
 
-@_query("SELECT vec_id, list_transform(embedding, lambda x, i: round((x * CASE WHEN i <= 8 THEN (i - 1) / 7.0 WHEN i > len(embedding) - 8 THEN (len(embedding) - i) / 7.0 ELSE 1.0 END)::DOUBLE, 4)) AS audio FROM embeddings")
+@_query(f"SELECT vec_id, list_transform(embedding, lambda x, i: {_r4('x * CASE WHEN i <= 8 THEN (i - 1) / 7.0 WHEN i > len(embedding) - 8 THEN (len(embedding) - i) / 7.0 ELSE 1.0 END')}) AS audio FROM embeddings")
 def declicked(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select("vec_id", _rounded(A.declick(F.col("embedding"), 1000)).alias("audio"))
 
@@ -431,14 +475,32 @@ def terminal_delta(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.round(A.delta_from_f0(f0), 6).alias("delta_st"))
 
 
-@_query("WITH e AS (SELECT vec_id, embedding, (vec_id % 8)::INTEGER AS k FROM embeddings) SELECT vec_id, list_transform(list_concat(embedding[1:k], embedding[k + 2:len(embedding)]), lambda x: round(x::DOUBLE, 4)) AS audio FROM e")
-def corrupted_drop(spark, sf_dir):
-    return _t(spark, sf_dir, "embeddings").select("vec_id", _rounded(A.corrupted(F.col("embedding"), F.lit("drop"), (F.col("vec_id") % 8).cast("int"))).alias("audio"))
+_CORRUPTED = {
+    "none": "embedding",
+    "drop": "list_concat(embedding[1:k], embedding[k + 2:len(embedding)])",
+    "duplicate": "list_concat(embedding[1:k + 1], embedding[k + 1:len(embedding)])",
+    "truncate": "embedding[1:k]",
+    "swap": "list_concat(embedding[1:k], embedding[k + 2:k + 2], embedding[k + 1:k + 1], embedding[k + 3:len(embedding)])",
+}
 
 
-@_query()
+@_query("WITH e AS (SELECT vec_id, embedding, (vec_id % 8)::INTEGER AS k FROM embeddings)" + " UNION ALL".join(f" SELECT vec_id, '{kind}' AS corruption, list_transform({audio}, lambda x: {_r4('x')}) AS audio FROM e" for kind, audio in _CORRUPTED.items()))
+def corrupted_audio(spark, sf_dir):
+    """Every corruption of every wave."""
+    rows = _t(spark, sf_dir, "embeddings").withColumn("corruption", F.explode(F.array(*map(F.lit, H.CORRUPTIONS))))
+    return rows.select("vec_id", "corruption", _rounded(A.corrupted(F.col("embedding"), F.col("corruption"), (F.col("vec_id") % 8).cast("int"))).alias("audio"))
+
+
+@_query(
+    f"""WITH x AS (SELECT vec_id, list_concat(list_transform(range(64), lambda i: 0.0::FLOAT), embedding) AS x FROM embeddings),
+r AS (SELECT vec_id, x, list_transform(range((len(x) - 15) // 5 + 1), lambda k: sqrt(list_sum(list_transform(x[k * 5 + 1:k * 5 + 15], lambda y: y::DOUBLE * y::DOUBLE)) / 15)) AS rms FROM x),
+l AS (SELECT vec_id, x, list_filter(range(len(rms)), lambda k: rms[k + 1] >= list_max(rms) * power(10.0, -42 / 20.0)) AS loud FROM r)
+SELECT vec_id, list_transform(x[greatest(0, loud[1] * 5 - 15) + 1:least(len(x), loud[-1] * 5 + 30)], lambda y: {_r4('y')}) AS audio FROM l"""
+)
 def trimmed_audio(spark, sf_dir):
-    return _t(spark, sf_dir, "embeddings").select("vec_id", F.size(A.trim(F.concat(F.array_repeat(F.lit(0.0).cast("float"), 64), F.col("embedding")), 500)).alias("samples"))
+    silent = F.array_repeat(F.lit(0.0).cast("float"), 64)
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", A.trim(F.concat(silent, F.col("embedding")), 500).alias("audio"))
+    return rows.select("vec_id", _rounded(F.col("audio")).alias("audio"))
 
 
 @_query()
