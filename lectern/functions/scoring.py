@@ -308,3 +308,8 @@ def cascade(verdicts: list[Column]) -> Column:
     known = F.filter(F.array(*verdicts), lambda v: v.isNotNull())
     best = F.array_max(F.transform(known, lambda v, i: F.struct(v["ok"].cast("int").alias("a"), F.when(v["ok"], F.lit(0.0)).otherwise(v["coverage"]).alias("b"), (-i).alias("c"))))
     return F.get(known, -best["c"])
+
+
+def default_verifier(thorough: Column, quick: Column | None = None) -> Column:
+    """The policy of whole renderings: the quick recogniser's verdict first where there is one, else the thorough one's alone."""
+    return thorough if quick is None else cascade([quick, thorough])

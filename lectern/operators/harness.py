@@ -75,6 +75,13 @@ def case_verdict(matches: Column, defined: Column) -> Column:
     return F.when((defined > 0) & (matches == defined), "OK").when(matches > 0, "PARTIAL").otherwise("MISS")
 
 
+def lexicon_tally(probes: DataFrame) -> DataFrame:
+    """(verdict, n) of probes with raw_ok and respelled_ok."""
+    from ..functions.text import probe_verdict
+
+    return probes.groupBy(probe_verdict(F.col("raw_ok"), F.col("respelled_ok")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
 def resume_plan(cases: DataFrame, done: DataFrame, takes: int, case_columns: list[str]) -> DataFrame:
     """(case_id, take) still to be made: stored rows count only if their whole case is unchanged."""
     valid = done.join(cases.select(*case_columns), case_columns, "left_semi").select("case_id", "take")

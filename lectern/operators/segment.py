@@ -99,6 +99,13 @@ def packed_sentences(sentences: Column, limit: int = MAX_CHARS) -> Column:
     return F.aggregate(packed, empty, merge)
 
 
+def chunks_of(text: Column, limit: int = MAX_CHARS) -> Column:
+    """Chunks natively; only texts with a sentence above the limit go through the UDF."""
+    cut = T.sentences(text)
+    long = F.exists(cut, lambda s: F.length(s) > limit)
+    return F.when(long, chunk_text(F.when(long, text), limit)).otherwise(packed_sentences(cut, limit))
+
+
 def parse_script(scripts: DataFrame, gap_s: float = 1.0, id_col: str = "script_id", text_col: str = "text") -> DataFrame:
     """(script_id, seg_no, kind, text, gap_s): paragraphs, with a gap between each two."""
     blocks = F.filter(F.transform(F.split(text_col, "\n\n"), lambda b: T.stripped(F.regexp_replace(b, r"(?U)\s+", " "))), lambda b: b != "")

@@ -56,7 +56,6 @@ _NORM = "trim(regexp_replace(regexp_replace(" + _LOW + ", '[^\\pL\\pN_\\s]', ' '
 _TOKENS = "list_filter(string_split(" + _NORM.format("text") + ", ' '), lambda x: x <> '')"
 _NUMBERISH = f"(regexp_matches({{0}}, '^[0-9]+$') OR {{0}} IN {_in(NUMBER_WORDS_EN)})"
 _COUNT = "len(list_filter(string_split(regexp_replace({}, '\\s+', ' ', 'g'), ' '), lambda x: x <> ''))"
-_ENGLISH = "SELECT * FROM documents WHERE lang = 'en'"
 _CHUNKS = f"""sents AS (SELECT doc_id, unnest({_SENTENCES}) AS sentence, unnest(range(len({_SENTENCES}))) AS pos FROM documents),
 chunks AS (SELECT doc_id, (pos // 3)::INTEGER AS chunk_idx, string_agg(sentence, ' ' ORDER BY pos) AS text, count(*)::INTEGER AS n_sentences FROM sents GROUP BY ALL)"""
 
@@ -90,9 +89,9 @@ def normalized_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.normalized(F.col("text"), F.col("lang")).alias("normalized"))
 
 
-@_query(f"SELECT doc_id, array_to_string(list_filter({_TOKENS}, lambda w: NOT {_NUMBERISH.format('w')}), ' ') AS words FROM ({_ENGLISH})")
+@_query(f"SELECT doc_id, array_to_string(list_filter({_TOKENS}, lambda w: NOT {_NUMBERISH.format('w')}), ' ') AS words FROM documents")
 def content_words(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.array_join(T.content_words(F.col("text"), "en"), " ").alias("words"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(T.content_words(F.col("text"), F.col("lang")), " ").alias("words"))
 
 
 @_query(f"SELECT doc_id, array_to_string(list_sort(list_filter({_TOKENS}, lambda w: w IN {_in(CRITICAL)})), ' ') AS words FROM documents")
@@ -101,23 +100,22 @@ def critical_token_counts(spark, sf_dir):
 
 
 @_query(
-    f"""WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM ({_ENGLISH})), f AS (SELECT doc_id, w, list_transform(w, lambda x: {_NUMBERISH.format('x')}) AS num FROM t)
+    f"""WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), f AS (SELECT doc_id, w, list_transform(w, lambda x: {_NUMBERISH.format('x')}) AS num FROM t)
 SELECT doc_id, coalesce(list_bool_or(list_transform(num, lambda x, i: x AND coalesce(num[i + 1], false))), false) AS compound,
  array_to_string(list_sort(list_filter(list_transform(w, lambda x, i: CASE WHEN num[i] AND NOT coalesce(num[i + 1], false) AND NOT (i > 1 AND num[greatest(i - 1, 1)]) THEN (CASE WHEN regexp_matches(x, '^(0|[1-9][0-9]{{0,17}})$') THEN x ELSE '?' || x END) END), lambda x: x IS NOT NULL)), ' ') AS numerals FROM f"""
 )
 def numeric_tokens(spark, sf_dir):
-    words = T.tokens(F.col("text"), "en")
-    rows = _t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", words.alias("w"))
-    return rows.select("doc_id", T.has_compound_numeral(F.col("w"), "en").alias("compound"), F.array_join(T.isolated_numerals(F.col("w"), "en"), " ").alias("numerals"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", "lang", T.tokens(F.col("text"), F.col("lang")).alias("w"))
+    return rows.select("doc_id", T.has_compound_numeral(F.col("w"), F.col("lang")).alias("compound"), F.array_join(T.isolated_numerals(F.col("w"), F.col("lang")), " ").alias("numerals"))
 
 
 _RUNS = "regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_]+')"
 _EN_NAMES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in LETTERS["en"].items()) + "}"
 
 
-@_query(f"SELECT doc_id, array_to_string(list_transform({_RUNS}, lambda x: CASE WHEN regexp_matches(x, '^[A-Z]{{2,6}}$') THEN array_to_string(list_transform(string_split(x, ''), lambda c: {_EN_NAMES}[c]), ' ') ELSE x END), '') AS spoken FROM ({_ENGLISH})")
+@_query(f"SELECT doc_id, CASE WHEN lang <> 'en' THEN text ELSE array_to_string(list_transform({_RUNS}, lambda x: CASE WHEN regexp_matches(x, '^[A-Z]{{2,6}}$') THEN array_to_string(list_transform(string_split(x, ''), lambda c: {_EN_NAMES}[c]), ' ') ELSE x END), '') END AS spoken FROM documents")
 def spelled_acronyms(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.spelled_acronyms(F.col("text"), "en").alias("spoken"))
+    return _t(spark, sf_dir, "documents").select("doc_id", T.spelled_acronyms(F.col("text"), F.col("lang")).alias("spoken"))
 
 
 @_query("SELECT lang, sum(len(list_filter(" + _RUNS + ", lambda x: regexp_matches(x, '^[A-Z]{2,6}$'))))::BIGINT AS acronyms FROM documents GROUP BY lang")
@@ -139,20 +137,13 @@ def diagnostics_lines(spark, sf_dir):
 
 # chunks --------------------------------------------------------------------
 
-_FOLD = f"""list_reduce(list_transform(s, lambda x: {{'full': []::VARCHAR[], 'held': x}}), lambda a, b: CASE WHEN length(a.held) + 1 + length(b.held) > 250 THEN {{'full': list_append(a.full, a.held), 'held': b.held}} ELSE {{'full': a.full, 'held': a.held || ' ' || b.held}} END)"""
 _MERGE = f"list_reduce(list_transform(c, lambda x: [x]), lambda a, b: CASE WHEN {_COUNT.format('b[1]')} < 3 AND length(a[-1]) + 1 + length(b[1]) <= 250 THEN list_append(a[1:len(a) - 1], a[-1] || ' ' || b[1]) ELSE list_append(a, b[1]) END)"
 
 
-@_query(
-    f"""WITH s AS (SELECT doc_id, {_SENTENCES} AS s FROM documents), e AS (SELECT * FROM s WHERE len(s) > 0 AND list_max(list_transform(s, lambda x: length(x))) <= 250),
-f AS (SELECT doc_id, {_FOLD} AS f FROM e), p AS (SELECT doc_id, list_append(f.full, f.held) AS c FROM f), m AS (SELECT doc_id, {_MERGE} AS c FROM p)
-SELECT doc_id, unnest(range(len(c)))::INTEGER AS piece_no, unnest(c) AS chunk FROM m"""
-)
+@_query()
 def greedy_chunks(spark, sf_dir):
-    """Of documents without a sentence above the limit; ``document_chunks`` has all."""
-    rows = _t(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
-    rows = rows.where("size(s) > 0 and array_max(transform(s, x -> length(x))) <= 250")
-    return rows.select("doc_id", F.posexplode(G.packed_sentences(F.col("s"))).alias("piece_no", "chunk"))
+    """Chunks by the native fold, and by the UDF where a sentence is above the limit."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(G.chunks_of(F.col("text"))).alias("piece_no", "chunk"))
 
 
 @_query()
@@ -394,13 +385,13 @@ def cascade_choice(spark, sf_dir):
 
 
 @_query(
-    f"""WITH {_CHUNKS}, c AS (SELECT doc_id, chunk_idx, unnest(['none', 'drop', 'duplicate', 'truncate', 'swap']) AS corruption FROM chunks WHERE n_sentences >= 2 AND doc_id % 4 <> 0),
+    f"""WITH {_CHUNKS}, c AS (SELECT doc_id, chunk_idx, unnest(['none', 'drop', 'duplicate', 'truncate', 'swap']) AS corruption FROM chunks WHERE n_sentences >= 2),
 k AS (SELECT corruption, (doc_id * 11 + chunk_idx * 3 + length(corruption)) % 10 < CASE WHEN corruption = 'none' THEN 9 ELSE 1 END AS ok FROM c)
 SELECT corruption, count(*) AS n, count_if(ok) AS accepted, round(count_if(CASE WHEN corruption = 'none' THEN NOT ok ELSE ok END) / count(*), 4) AS wrong_rate FROM k GROUP BY corruption
 UNION ALL SELECT 'all', count(*), count_if(ok), round(count_if(ok) / count(*), 4) FROM k WHERE corruption <> 'none'"""
 )
 def acceptance_matrix(spark, sf_dir):
-    rows = _chunks(spark, sf_dir).select("doc_id", "chunk_idx", T.sentences(F.col("text")).alias("x"), F.array_repeat(F.lit(""), F.col("n_sentences")).alias("sentences"), (F.col("doc_id") % 4 != 0).alias("trusted"))
+    rows = _chunks(spark, sf_dir).select("doc_id", "chunk_idx", T.sentences(F.col("text")).alias("x"), F.array_repeat(F.lit(""), F.col("n_sentences")).alias("sentences"), F.lit(True).alias("trusted"))
     cases = H.acceptance_cases(rows)
     ok = (F.col("doc_id") * 11 + F.col("chunk_idx") * 3 + F.length("corruption")) % 10 < F.when(F.col("corruption") == "none", 9).otherwise(1)
     return H.acceptance(cases.withColumn("ok", ok))

@@ -15,7 +15,41 @@ from ..functions import text as T
 from ..operators.segment import parse_script
 
 #: (carrier sentence, raw term, respelling, pattern that shows it was recognised)
-PROBES = [("It runs on {}.", "nginx", "engine ex", r"\bnginx\b"), ("Open {} now.", "Xcode", "ex code", r"\bxcode\b"), ("We use {} here.", "SQLite", "sequel light", r"\bsqlite\b")]
+PROBES = [
+    ("It runs on {}.", "nginx", "engine ex", r"\bnginx\b|engine\s*ex"),
+    ("Open {} now.", "Xcode", "ex code", r"\bx\s*code\b|ex\s*code"),
+    ("We use {} here.", "SQLite", "sequel light", r"\bsqlite\b|sequel\s*lite?|sequel\s*light"),
+    ("The key is sent over {} only.", "TLS", "tee ell ess", r"\bt\s*l\s*s\b|tee\s*ell"),
+    ("Her talk on {} filled the hall.", "GNU", "guh noo", r"\bgnu\b|guh?\s*noo"),
+    ("Send the form as a {} file.", "PDF", "pee dee eff", r"\bp\s*d\s*f\b|pee\s*dee"),
+    ("The letters were signed by {}.", "Siobhan", "shiv awn", r"\bsiobhan\b|shiv\s*awn|\bchevonne\b"),
+    ("They met again in {} that year.", "Leicester", "lester", r"\bleicester\b|\blest(?:er|a)\b"),
+    ("Their {} went into the archive.", "JPEG", "jay peg", r"\bjpeg\b|jay\s*peg"),
+]
+#: (id, language, category, expected contour, text): questions and statements whose end should rise or fall.
+CASES = [
+    ("cs_yn_1", "cs", "cs_yesno", "rise", "Vezmeš s sebou ten deštník?"),
+    ("cs_yn_2", "cs", "cs_yesno", "rise", "Už jste tam byli letos v zimě?"),
+    ("cs_yn_3", "cs", "cs_yesno", "rise", "Slyšíš mě dobře i odtud?"),
+    ("cs_yn_4", "cs", "cs_yesno", "rise", "Napsala ti babička z lázní?"),
+    ("cs_yn_5", "cs", "cs_yesno", "rise", "Chceš čaj?"),
+    ("cs_wh_1", "cs", "cs_wh", "fall", "Kde necháváte přes noc kolo?"),
+    ("cs_wh_2", "cs", "cs_wh", "fall", "Kdo otevřel v noci okno?"),
+    ("cs_wh_3", "cs", "cs_wh", "fall", "Proč ten vlak zase stojí?"),
+    ("cs_wh_4", "cs", "cs_wh", "fall", "Kolik stojí lístek do Brna?"),
+    ("cs_decl_1", "cs", "cs_decl", "fall", "Vezmeš s sebou ten deštník."),
+    ("cs_decl_2", "cs", "cs_decl", "fall", "Napsala ti babička z lázní."),
+    ("cs_decl_3", "cs", "cs_decl", "fall", "Letos v zimě jsme tam byli."),
+    ("en_yn_1", "en", "en_yesno", "rise", "Is the bakery still open?"),
+    ("en_yn_2", "en", "en_yesno", "rise", "Will you carry the lamp upstairs?"),
+    ("en_wh_1", "en", "en_wh", "fall", "Where do they keep the spare keys?"),
+    ("en_wh_2", "en", "en_wh", "fall", "Who painted the gate green?"),
+    ("en_decl_1", "en", "en_decl", "fall", "The bakery is still open."),
+    ("mix_yn_1", "cs", "mix_yesno", "rise", "Pošleš mi ten screenshot ještě dnes?"),
+    ("mix_yn_2", "cs", "mix_yesno", "rise", "Funguje ti ten backup server?"),
+    ("mix_wh_1", "cs", "mix_wh", "fall", "Kdy skončí ten sprint review?"),
+    ("mix_decl_1", "cs", "mix_decl", "fall", "Ten backup server mi funguje."),
+]
 
 
 def script_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -49,9 +83,10 @@ def inputs(spark: SparkSession, folder: str, prefix: str | None = None, max_char
     return rows.where(F.length("text") <= max_chars), rows.where(F.length("text") > max_chars).count()
 
 
-def report_rows(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Results of JSON reports, the failed ones with a transcript first in order, as many as the limit says."""
-    schema = "results array<struct<i:int, text:string, ok:boolean, coverage:double, transcript:string>>"
+def report_rows(spark: SparkSession, path: str, limit: int | None = None, extra: str = "") -> DataFrame:
+    """Results of JSON reports; with a limit the first that failed with a transcript.  extra: more fields of a result, as name and type."""
+    more = "".join(f", {f.strip().replace(' ', ':', 1)}" for f in extra.split(",") if f.strip())
+    schema = f"results array<struct<i:int, text:string, ok:boolean, coverage:double, transcript:string{more}>>"
     rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("results").alias("r")).select("r.*")
     return rows if limit is None else rows.where("not ok and transcript <> ''").orderBy("i").limit(limit)
 
@@ -68,6 +103,10 @@ def probes(spark: SparkSession, rows: list[tuple] = PROBES) -> DataFrame:
     return spark.createDataFrame(rows, "carrier string, raw string, respelling string, pattern string")
 
 
+def cases(spark: SparkSession, rows: list[tuple] = CASES) -> DataFrame:
+    return spark.createDataFrame(rows, "id string, lang string, category string, expected string, text string")
+
+
 def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
     """(sample rate, mono samples) of 16-bit PCM."""
     with wave.open(io.BytesIO(data)) as f:

@@ -25,6 +25,7 @@ def encode_wav(audio: np.ndarray, rate: int, channels: int = 1) -> bytes:
 
 def write_wavs(rows: DataFrame, folder: str, rate: int, name: str = "script_id") -> None:
     """One file for each row, in a folder that all executors see; a file is there whole or not at all."""
+    folder = folder.removeprefix("file://")
     columns = [name, "audio", *(["channels"] if "channels" in rows.columns else [])]
 
     def write(part: Iterator[Row]) -> None:
@@ -38,6 +39,21 @@ def write_wavs(rows: DataFrame, folder: str, rate: int, name: str = "script_id")
     rows.select(*columns).foreachPartition(write)
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """(name, content) as files of these names, in a folder that all executors see."""
+    folder = folder.removeprefix("file://")
+
+    def write(part: Iterator[Row]) -> None:
+        os.makedirs(folder, exist_ok=True)
+        for row in part:
+            path = os.path.join(folder, row["name"])
+            with open(f"{path}.part", "wb") as f:
+                f.write(row["content"])
+            os.replace(f"{path}.part", path)
+
+    rows.select("name", "content").foreachPartition(write)
+
+
 def append_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("header", True).csv(path)
 
