@@ -51,7 +51,7 @@ BLOCK = 256
 #: An n-gram that more different sets post is split into tiles of blocks of half as many.
 HEAVY = 8192
 _U = np.uint64
-_TILE = "xh1 bigint, xh2 bigint, yh1 bigint, yh2 bigint, tile int"
+_NEAR = pa.schema([("xh1", pa.int64()), ("xh2", pa.int64()), ("yh1", pa.int64()), ("yh2", pa.int64()), ("jaccard", pa.float64())])
 #: A posting is an n-gram's hash above the set's size and, lowest, whether only a smaller set may meet it there.
 _SIZE_BITS = 24
 _FOUND = 1 << 20
@@ -98,16 +98,6 @@ def possible(nx: np.ndarray, x: list[bytes], ny: np.ndarray, y: list[bytes], t:
     return out
 
 
-def _possible(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    names = ["xh1", "xh2", "yh1", "yh2", "tile"]
-    for batch in batches:
-        field = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
-        sizes = (field(c).to_numpy().astype(np.int64) for c in ("xn", "yn"))
-        nx, ny = sizes
-        keep = pa.array(possible(nx, field("xbits").to_pylist(), ny, field("ybits").to_pylist(), t), pa.bool_())
-        yield pa.RecordBatch.from_arrays([field(c).filter(keep) for c in names], names)
-
-
 def shared_at_least(size: np.ndarray, t: float) -> np.ndarray:
     """k of the prefixes of a set of this size; never falls as sizes grow."""
     return np.minimum(1 + size // 8, np.ceil(t * size - 1e-9).astype(np.int64))
@@ -229,8 +219,7 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col:
                 if not len(some):
                     continue
                 sums = [np.add.reduceat(K.mix(elems + _U(k)), to[:-1][some]).view(np.int64) for k in (0, 0x9E3779B97F4A7C15)]
-                bits = [bitmap(elems[to[i] : to[i + 1]]) for i in some]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).take(pa.array(some)), pa.array(size[some].astype(np.int32)), *map(pa.array, sums), pa.array(bits, pa.binary())], ["doc_id", "n", "h1", "h2", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).take(pa.array(some)), *map(pa.array, sums)], ["doc_id", "h1", "h2"])
 
     def postings(batches: Iterator[pa.RecordBatch], only: bool = False) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,9 +247,9 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col:
                 of = np.repeat(np.minimum(size, (1 << (_SIZE_BITS - 1)) - 1), longest) * 2 + (pos >= np.repeat(shorter, longest))
                 yield pa.RecordBatch.from_arrays([pa.array((elem | of.astype(_U)).view(np.int64)), pa.array(np.repeat(ids, longest))], ["key", "id"])
 
-    sets = written(texts.mapInArrow(signatures, "doc_id bigint, n int, h1 bigint, h2 bigint, bits binary"))
-    own = sets.select("doc_id", "h1", "h2").distinct()  # rows that repeat an id are one document; large groups are counted in parts
-    firsts = written(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")))
+    # rows that repeat an id are one document; large groups are counted in parts
+    sets = written(texts.mapInArrow(signatures, "doc_id bigint, h1 bigint, h2 bigint").distinct())
+    firsts = written(sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")))
     # documents whose every set an earlier one has: their first document stands for them
     copies = sets.select("doc_id").join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_anti").distinct()
     single = sized_join(texts, written(copies), "doc_id", "left_anti")
@@ -268,17 +257,16 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col:
     popular = single.mapInArrow(lambda b: postings(b, True), "elem bigint").groupBy("elem").agg(F.count("*").alias("n")).where(F.col("n") > heavy)
     # postings of an n-gram come together, by size; candidates are found as they pass
     posts = tiled(single.mapInArrow(postings, "key bigint, id bigint"), written(popular), heavy)
-    posts = posts.repartition(F.shiftright("key", _SIZE_BITS)).sortWithinPartitions("key", "id")
+    # the fewer tasks, the more of the n-grams of two sets meet in one, which sends their pair once
+    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
+    posts = posts.repartition(tasks, F.shiftright("key", _SIZE_BITS)).sortWithinPartitions("key", "id")
     found = posts.mapInArrow(lambda b: _candidates(b, t), "x bigint, y bigint, tile int, hits int, need int")
     found = written(found.groupBy("x", "y").agg(F.min("tile").alias("tile"), F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need").select("x", "y", "tile"))
     del posts
-    bits = sets.select("h1", "h2", "n", "bits").dropDuplicates(["h1", "h2"])
-    side = lambda s: bits.select(F.col("h1").alias(s), F.col("h1").alias(f"{s}h1"), F.col("h2").alias(f"{s}h2"), F.col("n").alias(f"{s}n"), F.col("bits").alias(f"{s}bits"))
-    pairs = written(found.join(side("x"), "x").join(side("y"), "y").mapInArrow(lambda b: _possible(b, t), _TILE))
 
     # the sets of the candidates are made once more, and meet in the tile of their pair
-    ends = pairs.select("tile", F.col("xh1").alias("h1"), F.col("xh2").alias("h2")).union(pairs.select("tile", "yh1", "yh2"))
-    ids = firsts.join(ends.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select(F.col("first").alias("doc_id")).distinct()
+    ends = found.select("tile", F.col("x").alias("h1")).union(found.select("tile", "y"))
+    ids = firsts.join(ends.select("h1").distinct(), "h1", "left_semi").select(F.col("first").alias("doc_id")).distinct()
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,26 +279,28 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col:
                     yield pa.RecordBatch.from_arrays([*map(pa.array, sums), packed(elems, np.append(starts, to[-1]))], ["h1", "h2", "elems"])
 
     body = sized_join(texts, ids, "doc_id", "left_semi").mapInArrow(bodies, "h1 bigint, h2 bigint, elems binary").dropDuplicates(["h1", "h2"])
-    count = ends.count()
-    buckets = max(1, math.ceil(count / 2000))
+    buckets = max(1, math.ceil(found.count() / 1000))
     bucket = F.pmod(F.col("tile"), F.lit(buckets)).alias("bucket")
-    present = ends.select(bucket, "h1", "h2").distinct().join(body, ["h1", "h2"])
+    present = ends.select(bucket, "h1").distinct().join(body, "h1")
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.combine_chunks()
-        place = {p: k for k, p in enumerate(zip(right["h1"].to_pylist(), right["h2"].to_pylist(), strict=True))}
+        h1, h2 = right["h1"].to_numpy(), right["h2"].to_numpy()
         arrays = [np.frombuffer(x.as_buffer(), _U) for x in right["elems"]]
-        x = [arrays[place[p]] for p in zip(left["xh1"].to_pylist(), left["xh2"].to_pylist(), strict=True)]
-        y = [arrays[place[p]] for p in zip(left["yh1"].to_pylist(), left["yh2"].to_pylist(), strict=True)]
-        common = np.array([_overlap(p, q) for p, q in zip(x, y, strict=True)], np.int64)
-        union = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - common
+        sizes, bits = np.array([len(a) for a in arrays], np.int64), [bitmap(a) for a in arrays]
+        order = np.argsort(h1)
+        x, y = (order[np.searchsorted(h1[order], left[c].to_numpy())] if len(order) else np.zeros(0, np.int64) for c in ("x", "y"))
+        some = np.flatnonzero(possible(sizes[x], [bits[i] for i in x], sizes[y], [bits[i] for i in y], t)) if len(x) else x
+        x, y = x[some], y[some]
+        common = np.array([_overlap(arrays[p], arrays[q]) for p, q in zip(x, y, strict=True)], np.int64)
+        union = sizes[x] + sizes[y] - common
         hit = common >= np.ceil(t * union - 1e-9)
-        out = left.select(["xh1", "xh2", "yh1", "yh2"]).filter(pa.array(hit, pa.bool_()))
-        return out.append_column("jaccard", pa.array((common / np.maximum(union, 1))[hit], pa.float64()))
+        x, y = x[hit], y[hit]
+        return pa.table({"xh1": h1[x], "xh2": h2[x], "yh1": h1[y], "yh2": h2[y], "jaccard": (common / np.maximum(union, 1))[hit]}, schema=_NEAR)
 
-    near = pairs.withColumn("bucket", bucket).groupBy("bucket").cogroup(present.groupBy("bucket")).applyInArrow(verify, "xh1 bigint, xh2 bigint, yh1 bigint, yh2 bigint, jaccard double")
+    near = found.withColumn("bucket", bucket).groupBy("bucket").cogroup(present.groupBy("bucket")).applyInArrow(verify, "xh1 bigint, xh2 bigint, yh1 bigint, yh2 bigint, jaccard double")
     near = written(near)
-    drop_written(found, pairs)
+    drop_written(found)
     return sets, firsts, near
 
 
@@ -334,15 +324,14 @@ def _named(firsts: DataFrame, near: DataFrame) -> DataFrame:
 
 def _edges(sets: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
     """What joins first documents: links, and rows of one id with several texts."""
-    own = sets.select("doc_id", "h1", "h2").distinct()
-    several = own.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    bound = own.join(several, "doc_id", "left_semi").join(firsts, ["h1", "h2"]).select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    several = sets.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    bound = sets.join(several, "doc_id", "left_semi").join(firsts, ["h1", "h2"]).select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     return pairs.select(F.col("x").alias("u"), F.col("y").alias("v")).union(bound)
 
 
 def _copies(sets: DataFrame, firsts: DataFrame) -> DataFrame:
     """(first, doc_id) of documents whose set an earlier one has."""
-    return sets.select("doc_id", "h1", "h2").join(firsts.where("members > 1"), ["h1", "h2"]).where("doc_id <> first").select("first", "doc_id").distinct()
+    return sets.join(firsts.where("members > 1"), ["h1", "h2"]).where("doc_id <> first").select("first", "doc_id").distinct()
 
 
 def linked(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,7 +348,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, heavy:
     roots = components(_edges(sets, firsts, pairs))
     ends = pairs.select(F.col("xh1").alias("h1"), F.col("xh2").alias("h2")).union(pairs.select("yh1", "yh2"))
     own = firsts.join(ends.groupBy("h1", "h2").agg(F.count("*").alias("links")), ["h1", "h2"], "left").where("links is not null or members > 1")
-    rows = sets.select("doc_id", "h1", "h2").distinct().join(own, ["h1", "h2"]).groupBy("doc_id").agg(F.min("first").alias("first"), F.sum(F.col("members") - 1).alias("copies"), F.sum(F.coalesce("links", F.lit(0))).alias("links"))
+    rows = sets.join(own, ["h1", "h2"]).groupBy("doc_id").agg(F.min("first").alias("first"), F.sum(F.col("members") - 1).alias("copies"), F.sum(F.coalesce("links", F.lit(0))).alias("links"))
     rows = rows.join(roots.select(F.col("node").alias("first"), "root"), "first", "left")
     out = rows.select("doc_id", F.coalesce("root", "first").alias("class_id"), "copies", "links")
     return finished(out, sets, firsts, near, pairs)
