@@ -35,10 +35,12 @@ def columns(df: DataFrame, **wanted: tuple[str, str]) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set."""
+    """The folder that all executors share; one of our own only where none is set and all run on this machine."""
     own = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -93,6 +95,18 @@ def sized_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str,
     return left.join(F.broadcast(right) if fits(right, row_bytes) else right, on, how)
 
 
+def dropped(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id isn't among the doc_id of ids; all columns as they are, whatever their names. Null ids stay."""
+    names = docs.columns
+    exact = [i for i, n in enumerate(names) if n == id_col] or [i for i, n in enumerate(names) if n.lower() == id_col.lower()]
+    if not exact:
+        raise ValueError(f"no column {id_col!r} among {names}")
+    gone = ids.select(F.col("doc_id").alias("gone")).distinct()
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    kept = plain.join(F.broadcast(gone) if fits(gone, 16) else gone, F.col(f"c{exact[0]}").cast("long") == F.col("gone"), "left_anti")
+    return kept.toDF(*names)
+
+
 def binaries(rows: Iterable[np.ndarray]) -> pa.Array:
     return pa.array([x.tobytes() for x in rows], pa.binary())
 

@@ -265,23 +265,26 @@ def _common(a: pa.Buffer, b: pa.Buffer) -> int:
     return int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
 
 
-def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """The documents without these lines; one whose every line with words goes, goes.
+def without_lines(docs: DataFrame, removed: DataFrame, least_share: float = 0.0, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The documents without these lines.
 
-    All columns stay as they are but the text of documents that lose lines, and
-    the number of its characters where there is such a column.
+    A document whose every line with words goes, goes, and so does one that loses
+    lines and keeps less than ``least_share`` of its characters: shreds of a copy.  All
+    columns stay as they are but the text of documents that lose lines, and the
+    number of its characters where there is such a column.
     """
     names = docs.columns
-    lost = removed.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    lost = removed.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))  # of one document
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
     at = {name: f"c{names.index(name)}" for name in (id_col, text_col, size_col) if name in names}
     rows = plain.join(lost, F.col(at[id_col]).cast("long") == F.col("doc_id"), "left")
     left = F.filter(F.split(at[text_col], "\n", -1), lambda x, i: ~F.array_contains("gone", i))
     rows = rows.withColumn("left", F.when(F.col("gone").isNotNull(), left))
-    rows = rows.where("gone is null or exists(left, x -> trim(x) <> '')")
     text = F.when(F.col("gone").isNull(), F.col(at[text_col])).otherwise(F.array_join("left", "\n"))
+    enough = F.exists("left", lambda x: F.trim(x) != "") & (F.length(F.array_join("left", "\n")) >= F.lit(float(least_share)) * F.length(at[text_col]))
+    rows = rows.where(F.col("gone").isNull() | enough)
     new = {at[text_col]: text}
     if size_col in at:
-        kind = docs.schema[size_col].dataType
+        kind = docs.schema[names.index(size_col)].dataType
         new[at[size_col]] = F.when(F.col("gone").isNull(), F.col(at[size_col])).otherwise(F.length(text).cast(kind))
-    return rows.select(*(new.get(f"c{k}", F.col(f"c{k}")).alias(name) for k, name in enumerate(names)))
+    return rows.select(*(new.get(f"c{k}", F.col(f"c{k}")) for k in range(len(names)))).toDF(*names)
