@@ -14,7 +14,8 @@ The postings of an n-gram are a tile, sorted by the sets' sizes, in which a set
 meets only those of its size band.  An n-gram that more than ``heavy`` different
 sets post (by exact counts) is split: its sets go to blocks by their hash, and
 each two blocks are a tile of their own, so that no task gets all of a popular
-n-gram's pairs.
+n-gram's pairs.  Tiles then go to the task of their first set: near copies have the
+same one in most of their tiles, so that a pair is counted in few tasks.
 
 Pairs that share as many as the smaller set's k and whose sizes may reach the
 threshold are compared by parity bitmaps: the bits in which two bitmaps differ
@@ -49,7 +50,7 @@ NGRAM = 3
 THRESHOLD = 0.45
 BLOCK = 256
 #: An n-gram that more different sets post is split into tiles of blocks of half as many.
-HEAVY = 8192
+HEAVY = 2048
 _U = np.uint64
 _NEAR = pa.schema([("xh1", pa.int64()), ("xh2", pa.int64()), ("yh1", pa.int64()), ("yh2", pa.int64()), ("jaccard", pa.float64())])
 #: A posting is an n-gram's hash above the set's size and, lowest, whether only a smaller set may meet it there.
@@ -181,6 +182,37 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Reco
         yield found.batch()
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of postings in order of n-gram and size those of n-grams that several sets post, with a home.
+
+    The home is a hash of the n-gram's first set, of which near copies have the same for
+    most of their n-grams; 16 bits tell enough of them apart.
+    """
+    names = ["key", "id", "side"]
+    held = [np.zeros(0, np.int64) for _ in names]  # the first row of the n-gram that goes on, as long as it is alone
+    elem, home = None, 0  # that n-gram, once several sets post it, and its home
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, ids, side = (np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held))
+        new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (side[1:] != side[:-1]))  # equal sets come together
+        key, ids, side = key[new], ids[new], side[new]
+        gram = key >> _SIZE_BITS
+        begin = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        many = np.diff(np.append(begin, len(gram)))
+        homes = (K.mix(ids[begin].view(_U)) >> _U(48)).astype(np.int64)
+        goes_on = elem is not None and gram[0] == elem
+        if goes_on:
+            homes[0] = home
+        keep = many > 1
+        keep[0] |= goes_on
+        rows = np.repeat(keep, many)
+        if rows.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(homes, many)[rows].astype(np.int32)), pa.array(key[rows]), pa.array(ids[rows]), pa.array(side[rows].astype(np.int8))], ["home", "key", "id", "side"])
+        elem, home = (gram[-1], int(homes[-1])) if keep[-1] else (None, 0)
+        held = [c[:0] if keep[-1] else c[-1:] for c in (key, ids, side)]
+
+
 def tiled(posts: DataFrame, popular: DataFrame, heavy: int) -> DataFrame:
     """The postings (key, id, side), those of popular n-grams (elem, n) once for each tile of two blocks.
 
@@ -255,11 +287,12 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col:
     single = sized_join(texts, written(copies), "doc_id", "left_anti")
     level = spark.sparkContext.broadcast(sketch(single.select("text"), hashed))
     popular = single.mapInArrow(lambda b: postings(b, True), "elem bigint").groupBy("elem").agg(F.count("*").alias("n")).where(F.col("n") > heavy)
-    # postings of an n-gram come together, by size; candidates are found as they pass
+    # postings of an n-gram come together, by size; those that nobody shares fall away
     posts = tiled(single.mapInArrow(postings, "key bigint, id bigint"), written(popular), heavy)
-    # the fewer tasks, the more of the n-grams of two sets meet in one, which sends their pair once
-    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
-    posts = posts.repartition(tasks, F.shiftright("key", _SIZE_BITS)).sortWithinPartitions("key", "id")
+    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)  # fewer tasks get more of a document's postings each, which compress better
+    posts = posts.repartition(tasks, F.shiftright("key", _SIZE_BITS)).sortWithinPartitions("key", "id").mapInArrow(_shared, "home int, key bigint, id bigint, side tinyint")
+    # n-grams with one home come together: most of those of two near copies, whose pair is then sent once
+    posts = posts.repartition("home").sortWithinPartitions("key", "id").select("key", "id", "side")
     found = posts.mapInArrow(lambda b: _candidates(b, t), "x bigint, y bigint, tile int, hits int, need int")
     found = written(found.groupBy("x", "y").agg(F.min("tile").alias("tile"), F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need").select("x", "y", "tile"))
     del posts

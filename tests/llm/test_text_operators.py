@@ -4,6 +4,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import line_dedup, ngram_join, substring_dedup
@@ -159,6 +161,24 @@ def _linked(table, t, n):
     return sorted(out, key=repr)
 
 
+def test_shared_postings_whatever_the_batches():
+    r = np.random.default_rng(3)
+    for cut in (1, 2, 3, 7, 1000):
+        key = np.sort((r.integers(-40, 40, 300) << 24) + r.integers(0, 3, 300) * 2)
+        ids = r.integers(0, 5, 300)
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[a : a + cut]), pa.array(ids[a : a + cut]), pa.array(np.zeros(len(key[a : a + cut]), np.int8))], ["key", "id", "side"]) for a in range(0, 300, cut)]
+        got = [tuple(x.values()) for b in ngram_join._shared(iter(batches)) for x in b.to_pylist()]
+        rows = sorted(set(zip(key.tolist(), ids.tolist(), strict=True)))
+        grams = [k >> 24 for k, _ in rows]
+        assert sorted({(k, i) for _, k, i, _ in got}) == [x for x, g in zip(rows, grams, strict=True) if grams.count(g) > 1]
+        homes = {}
+        for home, k, _, _ in got:
+            homes.setdefault(k >> 24, set()).add(home)
+        assert all(len(x) == 1 for x in homes.values()) and len(set.union(*homes.values())) > 1
+
+
 def test_popular_ngrams_are_split_into_tiles(spark):
     r = random.Random(6)
     base = [f"t{k}" for k in range(40)]
