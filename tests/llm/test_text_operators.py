@@ -238,6 +238,35 @@ def test_ngram_join_finds_all_pairs_of_large_groups(spark):
     assert all(abs(got[p] - want[p]) < 1e-5 for p in got)
 
 
+def test_crowds_are_compared_in_blocks(spark):
+    r = random.Random(12)
+    table = _large_groups()
+    mixed = [f"g0w{k}" for k in range(45)] + [f"g1w{k}" for k in range(45)]
+    table += [(2000 + k, " ".join(w if r.random() < 0.9 else f"own{k}x{at}" for at, w in enumerate(mixed))) for k in range(12)]  # near both groups
+    table += [(3000, table[3][1]), (3001, table[130][1])]
+    want = _linked(table, 0.45, 3)
+    assert sum(x[3] for x in want) > 11000
+    assert rows(ngram_join.linked(documents(spark, table), crowd=8, block=25)) == want
+    # the pairs of a crowd aren't written: a row for each set and pair of blocks at most
+    *_, near, links = ngram_join.set_pairs(documents(spark, table), 0.45, 3, "doc_id", "text", crowd=8, block=25)
+    assert 2 * near.count() + links.agg({"links": "sum"}).collect()[0][0] == sum(x[3] for x in want if x[0] < 3000)
+    assert near.count() < 1000 and links.count() < 150 * 8
+
+
+def test_intersections_and_candidates_of_crowds():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 400 if k % 2 else 90, 70)).astype(np.uint64) for k in range(60)]
+    got = ngram_join._counted(sets[:35], sets[20:])
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[20:]] for x in sets[:35]]
+    key = np.sort((r.integers(-6, 6, 400) << 24) + r.integers(20, 30, 400) * 2)
+    ids, crowd = np.arange(400), r.choice([0, 1, 1, 1, 2], 400)
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(ids[a:b]), pa.array((crowd[a:b] << 2).astype(np.int32))], ["key", "id", "side"])
+    want = {(x, y) for x, y in itertools.combinations(range(400), 2) if key[x] >> 24 == key[y] >> 24 and (key[x] & 0xFFFFFF) >= 0.9 * (key[y] & 0xFFFFFF) and (not crowd[x] or crowd[x] != crowd[y])}
+    for cut in (1, 7, 1000):
+        found = ngram_join._candidates((batch(a, min(400, a + cut)) for a in range(0, 400, cut)), 0.9)
+        assert {(p["x"], p["y"]) for b in found for p in b.to_pylist()} == want
+
+
 def test_later_copies_of_large_groups_leave_one(spark):
     table = _large_groups()
     kept = dict(rows(ngram_join.later_copies(documents(spark, table)).select("doc_id", "kept")))
