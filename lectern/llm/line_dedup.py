@@ -168,8 +168,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_tokens: int
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             field = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
-            sized = [(_common(p.as_buffer(), q.as_buffer()), p.as_buffer().size // 8 + q.as_buffer().size // 8) for p, q in zip(field("ex"), field("ey"), strict=True)]
-            common, both = np.array(sized, np.int64).reshape(-1, 2).T
+            common, both = _common(field("ex"), field("ey"))
             hit = common >= np.ceil(t * (both - common) - 1e-9)
             keep = pa.array(hit)
             yield pa.RecordBatch.from_arrays([field("x").filter(keep), field("y").filter(keep), pa.array((common / np.maximum(both - common, 1))[hit])], ["x", "y", "jaccard"])
@@ -258,11 +257,25 @@ def _possible(x: np.ndarray, y: np.ndarray, h1: np.ndarray, h2: np.ndarray, bits
     return x[good], y[good]
 
 
-def _common(a: pa.Buffer, b: pa.Buffer) -> int:
-    """Size of the intersection of two sorted arrays of different numbers."""
-    x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-    at = np.searchsorted(y, x)
-    return int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in an array of packed sets, and the sets' bounds in these."""
+    if not len(column):
+        return np.zeros(0, _U), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
+    return np.frombuffer(column.buffers()[2], _U)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _common(x: pa.Array, y: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair of packed sets of 50-bit numbers the size of the intersection, and both sizes together."""
+    (ex, bx), (ey, by) = _flat(x), _flat(y)
+    common = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), 1 << 14):  # numbers of pairs of 14 bits in the sort key
+        to = min(len(x), at + (1 << 14))
+        keys = [(np.repeat(np.arange(to - at, dtype=_U), np.diff(b[at : to + 1])) << _U(50)) | e[b[at] : b[to]] for e, b in ((ex, bx), (ey, by))]
+        key = np.concatenate(keys)
+        key.sort()
+        common[at:to] = np.bincount((key[1:][key[1:] == key[:-1]] >> _U(50)).astype(np.int64), minlength=to - at)
+    return common, np.diff(bx) + np.diff(by)
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, least_share: float = 0.0, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:

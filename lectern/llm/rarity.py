@@ -19,6 +19,17 @@ BITS = 22
 _SLICE = 16  # a row of the result covers 2**16 buckets
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts as compressed integers of the fewest bytes that hold them all; their width follows from their length."""
+    return zlib.compress(counts.astype(np.min_scalar_type(int(counts.max()))).tobytes(), 1)
+
+
+def wide(packed: bytes, n: int) -> np.ndarray:
+    """The n counts of ``narrow``."""
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, f"u{len(raw) // n}")
+
+
 def sketch(df: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BITS) -> np.ndarray:
     """uint8 array of 2**bits: 1 + floor(log2(count)) of each bucket, 0 if empty.
 
@@ -33,13 +44,13 @@ def sketch(df: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.ndarray
         for k in range(1 << (bits - _SLICE)):
             part = total[k << _SLICE : (k + 1) << _SLICE]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([narrow(part)], pa.binary())], ["slice", "counts"])
 
     def classes(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << _SLICE, np.uint64)
         for batch in tables:
             for part in batch.column(batch.schema.get_field_index("counts")):
-                total += np.frombuffer(zlib.decompress(part.as_py()), np.uint64)
+                total += wide(part.as_py(), 1 << _SLICE)
         level = np.zeros(1 << _SLICE, np.uint8)
         some = total > 0
         level[some] = 1 + np.floor(np.log2(total[some])).astype(np.uint8)

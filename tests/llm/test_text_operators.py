@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lectern.llm import line_dedup, ngram_join, substring_dedup
+from lectern.llm import line_dedup, ngram_join, rarity, substring_dedup
 
 from .helpers import clashing, documents, rows, words
 
@@ -339,3 +339,23 @@ def test_documents_without_lines(spark):
 def test_empty_table(spark, operator):
     assert operator(documents(spark, [])).count() == 0
     assert operator(documents(spark, AWKWARD)).count() == 0
+
+
+def test_counts_are_sent_narrow_and_whole():
+    r = np.random.default_rng(9)
+    for most, width in ((1, 1), (255, 1), (256, 2), (65_536, 4), (1 << 40, 8)):
+        counts = r.integers(0, most + 1, 1 << 12).astype(np.uint64)
+        counts[7] = most
+        sent = rarity.narrow(counts)
+        assert rarity.wide(sent, len(counts)).tolist() == counts.tolist()
+        assert len(sent) <= width * len(counts) + 64
+
+
+def test_pairs_of_a_batch_are_verified_together():
+    r = np.random.default_rng(10)
+    sets = [[np.unique(r.integers((1 << 50) - 30, 1 << 50, r.integers(1, 25))) for _ in range(17_000)] for _ in range(2)]
+    x, y = (pa.array([s.tobytes() for s in part], pa.binary()) for part in sets)
+    want = [(len(np.intersect1d(a, b)), len(a) + len(b)) for a, b in zip(*sets, strict=True)]
+    assert list(zip(*(c.tolist() for c in line_dedup._common(x, y)), strict=True)) == want
+    assert list(zip(*(c.tolist() for c in line_dedup._common(x[5:90], y[5:90])), strict=True)) == want[5:90]
+    assert [len(c) for c in line_dedup._common(x[:0], y[:0])] == [0, 0]
