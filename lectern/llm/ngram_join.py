@@ -3,8 +3,8 @@
 A document is the set of its word n-grams, as 64-bit hashes.  Equal sets are
 found by a 128-bit hash of the set, and from there on one document, that of the
 lowest id, stands for all of them.  Other pairs are found by prefix filtering:
-the n-grams of a set are ordered by rarity (coarse corpus-wide counts, then
-hash), the same order everywhere, and two sets that reach the threshold must
+the n-grams of a set are ordered by rarity (coarse corpus-wide counts in a sketch
+that grows with the table, then hash), the same order everywhere, and two sets that reach the threshold must
 share k of the first n - ceil(threshold * n) + k of the larger set and of the
 first n - ceil(2 * threshold / (1 + threshold) * n) + k of the smaller.  All of
 these are posted, with k about an eighth of n; a posting that nobody shares
@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as K
 from .common import columns, drop_written, finished, packed, sized_join, written
-from .rarity import BITS, sketch
+from .rarity import bits_for, sketch
 
 NGRAM = 3
 THRESHOLD = 0.45
@@ -63,6 +63,8 @@ HEAVY = 2048
 #: Sets whose n-grams as many sets post are compared in blocks of DENSE sets.
 CROWD = 64
 DENSE = 1024
+#: Bytes of text for each n-gram, about, by which the sketch is sized.
+GRAM_BYTES = 6
 _U = np.uint64
 _NEAR = pa.schema([("xh1", pa.int64()), ("xh2", pa.int64()), ("yh1", pa.int64()), ("yh2", pa.int64()), ("jaccard", pa.float64())])
 #: A posting is an n-gram's hash above the set's size and, lowest, whether only a smaller set may meet it there.
@@ -376,6 +378,8 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col:
     """
     spark, t = docs.sparkSession, float(threshold)
     texts = columns(docs, doc_id=(id_col, "long"), text=(text_col, "string")).where("doc_id is not null and text is not null")
+    octets = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    bits = bits_for(octets / GRAM_BYTES)
     texts = texts.select("doc_id", K.ready_text(F.col("text")).alias("text"))
 
     def hashed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -404,7 +408,7 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col:
                     continue
                 size, starts = size[some], to[:-1][some]
                 ids = np.add.reduceat(K.mix(elems), starts).view(np.int64)
-                order = (level.value[(elems >> _U(64 - BITS)).astype(np.int64)].astype(_U) << _U(58)) | (K.mix(elems) >> _U(6))
+                order = (level.value[(elems >> _U(64 - bits)).astype(np.int64)].astype(_U) << _U(58)) | (K.mix(elems) >> _U(6))
                 order = order[np.lexsort((order, np.repeat(np.arange(len(some)), size)))]
                 k = shared_at_least(size, t)
                 longest = size - np.ceil(t * size - 1e-9).astype(np.int64) + k
@@ -434,7 +438,7 @@ def set_pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col:
     # documents whose every set an earlier one has: their first document stands for them
     copies = sets.select("doc_id").join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_anti").distinct()
     single = sized_join(texts, written(copies), "doc_id", "left_anti")
-    level = spark.sparkContext.broadcast(sketch(single.select("text"), hashed))
+    level = spark.sparkContext.broadcast(sketch(single.select("text"), hashed, bits))
     common = written(single.mapInArrow(lambda b: postings(b, True), "elem bigint, id bigint, looked int"))
     members = crowds(common, crowd)
     # rows that a popular n-gram's crowds don't pair among themselves

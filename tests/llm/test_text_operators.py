@@ -351,6 +351,38 @@ def test_counts_are_sent_narrow_and_whole():
         assert len(sent) <= width * len(counts) + 64
 
 
+def test_a_sketch_of_any_size_counts_all_tokens(spark):
+    values = np.unique(np.random.default_rng(4).integers(0, 1 << 62, 3000))
+    table = spark.createDataFrame([(int(v) << 1,) for k, v in enumerate(values) for _ in range(1 + k % 5)], "v bigint").repartition(3)
+
+    def tokens(batch):
+        yield batch.column(0).to_numpy().view(np.uint64)
+
+    for bits in (17, 22, 24):
+        total = np.bincount((values.astype(np.uint64) << np.uint64(1) >> np.uint64(64 - bits)).astype(np.int64), weights=1 + np.arange(len(values)) % 5, minlength=1 << bits)
+        want = np.where(total > 0, 1 + np.floor(np.log2(np.maximum(total, 1))), 0)
+        assert (rarity.sketch(table, tokens, bits) == want).all()
+
+
+def test_the_sketch_of_ngrams_grows_with_the_table(spark, monkeypatch):
+    for tokens, bits in ((0, 22), (1 << 20, 22), (40 << 22, 22), ((40 << 22) + 1, 23), (40 << 24, 24), (1 << 40, 26)):
+        assert rarity.bits_for(tokens) == bits
+    table = _corpus(6, 60)
+    want = rows(ngram_join.linked(documents(spark, table)))
+    seen, plain = [], rarity.sketch
+
+    def seeing(*args):
+        seen.append(plain(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(ngram_join, "sketch", seeing)
+    monkeypatch.setattr(rarity, "BITS", 16)
+    monkeypatch.setattr(rarity, "PER_BUCKET", 1 / 256)
+    octets = sum(len(t.encode()) for d, t in table + AWKWARD if d is not None and t)
+    assert rows(ngram_join.linked(documents(spark, table + AWKWARD))) == want and want
+    assert len(seen[0]) == 1 << rarity.bits_for(octets / ngram_join.GRAM_BYTES) > 1 << 16
+
+
 def test_pairs_of_a_batch_are_verified_together():
     r = np.random.default_rng(10)
     sets = [[np.unique(r.integers((1 << 50) - 30, 1 << 50, r.integers(1, 25))) for _ in range(17_000)] for _ in range(2)]
