@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,8 +27,22 @@ def failures(results: DataFrame, limit: int = 10) -> DataFrame:
     return results.where("not ok").orderBy("script_id", "chunk_idx").limit(limit).select("script_id", "chunk_idx", F.round("coverage", 4).alias("coverage"), "dropped_sentence", F.substring("text", 1, 60).alias("text"))
 
 
+def one_place(x: Column) -> Column:
+    """A number to one place as C prints it: of its exact value, ties to even. Java's format rounds the shortest decimal, ties up."""
+    whole = F.floor(F.abs(x))
+    eight, two = (F.abs(x) - whole) * 8, (F.abs(x) - whole) * 2
+    ten = eight + two
+    lost = two - (ten - eight)  # what the sum lost by rounding, exactly
+    tenths = F.floor(ten)
+    over = ten - tenths - F.lit(0.5)
+    up = (over > 0) | ((over == 0) & ((lost > 0) | ((lost == 0) & (tenths % 2 == 1))))
+    total = whole * 10 + tenths + up.cast("bigint")
+    shown = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(total / 10).cast("string"), F.lit("."), (total % 10).cast("string"))
+    return F.when(F.abs(x) < 1e14, shown).otherwise(F.format_string("%.1f", x))
+
+
 def summary(reports: DataFrame) -> DataFrame:
-    return reports.select("*", F.format_string("%d chunks, %.1f s; %d recovered, %d reused, %d failed", "chunks", "duration_s", "recovered", "reused", "failed").alias("summary"))
+    return reports.select("*", F.format_string("%d chunks, %s s; %d recovered, %d reused, %d failed", "chunks", one_place(F.col("duration_s")), "recovered", "reused", "failed").alias("summary"))
 
 
 def progress(results: DataFrame) -> DataFrame:

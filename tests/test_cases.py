@@ -1,8 +1,11 @@
 """Registered queries against their SQL, on rows that the driver's small tables hold too few of."""
 
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lectern.operators import report as R
 
 
 def _same(spark, tmp_path, name, table, rows, schema):
@@ -20,3 +23,16 @@ def test_lexicon_tally_keeps_punctuation(spark, tmp_path):
     texts = ["one of. the", "one of the", "of\n the", "of\u00a0the", "the\u00e9", "sand", "and", "and_", "OF THE", "the", "", None, "x-and-y", "of\x0bthe"]
     got = _same(spark, tmp_path, "lexicon_tally", "conversations", [(k, 0, "user", t) for k, t in enumerate(texts)], "conv_id long, turn int, role string, text string")
     assert sum(n for _, n in got) == len(texts)
+
+
+def test_summaries_round_as_printf_does(spark, tmp_path):
+    chars = [4, 12, 1, 2, 15, 20, 8 * 16 + 4, 12 + 16 * 10**6, 4 + 16 * 10**9, 0]  # 0.25 s: 0.2, 0.75 s: 0.8
+    rows = [(k, "Text.", "en", "web", n) for k, n in enumerate(chars)]
+    _same(spark, tmp_path, "script_summaries", "documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_one_place_is_that_of_the_exact_value(spark):
+    r = np.random.default_rng(5)
+    values = [0.25, 0.35, 0.75, 0.95, 99.95, 0.05, 0.15, 1e13 + 0.25, 123456789.25, 0.0, -0.25, -1.35, *np.round(r.random(300) * 100, 2).tolist(), *(r.random(300) * 1e6).tolist()]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", R.one_place(F.col("x")).alias("s")).collect()
+    assert [r["s"] for r in got] == [f"{r['x']:.1f}" for r in got]
