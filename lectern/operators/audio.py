@@ -77,7 +77,9 @@ def limited(audio: Column, ceiling: float) -> Column:
     """As it is below the knee, bent by tanh above it, always below the ceiling."""
     knee = LIMIT_KNEE * ceiling
     room = ceiling - knee
-    soft = lambda x: F.signum(x) * (F.lit(knee) + F.lit(room * (1 - 1e-7)) * F.tanh((F.abs(x) - knee) / room))
+    # tanh reaches 1 for large values: the last float below the ceiling is the most
+    most = float(np.float32(ceiling)) if float(np.float32(ceiling)) < ceiling else float(np.nextafter(np.float32(ceiling), np.float32(0)))
+    soft = lambda x: F.signum(x) * F.least(F.lit(knee) + F.lit(room) * F.tanh((F.abs(x) - knee) / room), F.lit(most))
     return F.transform(audio, lambda x: F.when(F.abs(x) <= knee, x).otherwise(soft(x).cast("float")))
 
 

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lectern.operators import audio as A
 from lectern.operators import report as R
 
 
@@ -36,3 +37,17 @@ def test_one_place_is_that_of_the_exact_value(spark):
     values = [0.25, 0.35, 0.75, 0.95, 99.95, 0.05, 0.15, 1e13 + 0.25, 123456789.25, 0.0, -0.25, -1.35, *np.round(r.random(300) * 100, 2).tolist(), *(r.random(300) * 1e6).tolist()]
     got = spark.createDataFrame([(v,) for v in values], "x double").select("x", R.one_place(F.col("x")).alias("s")).collect()
     assert [r["s"] for r in got] == [f"{r['x']:.1f}" for r in got]
+
+
+def test_soft_limit_is_that_of_the_sql_and_below_the_ceiling(spark, tmp_path):
+    r = np.random.default_rng(3)
+    rows = [(k, r.uniform(-0.2, 0.2, 64).astype(np.float32).tolist(), 0) for k in range(400)]
+    # levels whose limited value lies next to a tie of the four places
+    near = [0.08 + 0.02 * np.arctanh((t + 0.00005 - 0.08) / 0.02) for t in np.arange(0.0801, 0.0999, 0.0001)]
+    fine = [np.float32(x) + np.float32(k * 2.0**-27) for x in near for k in range(-8, 9)]
+    rows += [(400 + k, [float(np.float32(x)) for x in part], 0) for k, part in enumerate(np.array_split(fine, 50))]
+    _same(spark, tmp_path, "soft_limited", "embeddings", rows, "vec_id long, embedding array<float>, label int")
+    loud = spark.createDataFrame([([0.0, 1.0, -5.0, 1e6],)], "a array<float>")
+    for ceiling in (0.1, 0.9, 0.5):
+        got = loud.select(A.limited(F.col("a"), ceiling).alias("a")).collect()[0]["a"]
+        assert max(map(abs, got)) < ceiling
