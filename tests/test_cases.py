@@ -1,5 +1,8 @@
 """Registered queries against their SQL, on rows that the driver's small tables hold too few of."""
 
+import math
+import time
+
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lectern.operators import audio as A
 from lectern.operators import report as R
+from lectern.operators.config import MasterConfig
 
 
 def _same(spark, tmp_path, name, table, rows, schema):
@@ -51,3 +55,21 @@ def test_soft_limit_is_that_of_the_sql_and_below_the_ceiling(spark, tmp_path):
     for ceiling in (0.1, 0.9, 0.5):
         got = loud.select(A.limited(F.col("a"), ceiling).alias("a")).collect()[0]["a"]
         assert max(map(abs, got)) < ceiling
+
+
+def test_waves_are_mastered_side_by_side():
+    r, cfg = np.random.default_rng(8), MasterConfig(channels=1)
+    waves = [(0.1 * r.standard_normal(n)).astype(np.float32) for n in [1920] * 400 + [0, 5, 1599, 1600, 3000, 4100]]
+    began = time.time()
+    made = {k: m for block in A.blocks([len(x) for x in waves]) for k, m in zip(block, A.mastered_block([waves[k] for k in block], 4000, cfg), strict=True)}
+    assert time.time() - began < 20  # a wave at a time took over a minute
+    for k in (0, 399, *range(400, 406)):
+        y, lufs = A.mastered(waves[k], 4000, cfg)
+        assert np.array_equal(y, made[k][0]) and (lufs == made[k][1] or math.isnan(lufs) and math.isnan(made[k][1]))
+    assert all(sum(len(waves[k]) for k in b) <= 4000 or len(b) == 1 for b in A.blocks([len(x) for x in waves], 4000))
+
+
+def test_filters_give_the_same_bits_narrow_or_wide():
+    x = np.random.default_rng(2).standard_normal((300, 40))
+    wide = A.biquad(x, *A.shelf(4000))
+    assert all(np.array_equal(wide[:, k], A.biquad(x[:, k : k + 1], *A.shelf(4000))[:, 0]) for k in range(40))
