@@ -76,6 +76,14 @@ def attempts(chunks: DataFrame, failure: Column, cfg: SynthConfig = CFG, fps: in
     return rows.withColumn("cheap_ok", F.coalesce(fine & ~F.col("hit_cap"), F.lit(False)))
 
 
+def cheap_checks(words: Column, spoken: Column, failure: Column, cfg: SynthConfig = CFG, fps: int = FPS) -> Column:
+    """(duration, raised, cheap_ok) of one attempt, as in ``attempts``."""
+    cap = frame_cap(words, fps, cfg)
+    duration = fake_duration(spoken, failure, cap, fps, cfg.words_per_second)
+    fine = duration.between(shortest(words, cfg), longest(words, cfg)) & (duration < cap / F.lit(float(fps)) - F.lit(1e-6))
+    return F.struct(duration.alias("duration"), (failure == "raise").alias("raised"), F.coalesce(fine, F.lit(False)).alias("cheap_ok"))
+
+
 def ladder(rows: DataFrame, keys: list[str], cfg: SynthConfig = CFG) -> DataFrame:
     """Which attempt each chunk ends with: (keys, chosen, ok, prior_failures, calls, coverage).
 
@@ -113,8 +121,8 @@ def outcome(selected: DataFrame) -> DataFrame:
     return selected.withColumn("recovered_by", F.when(F.col("ok") & (F.col("prior_failures") > 0), "retry").otherwise(""))
 
 
-def split_recovery(parts: DataFrame, keys: list[str], first_calls: str = "calls_before", cfg: SynthConfig = CFG) -> DataFrame:
-    """Failed chunks tried sentence by sentence: (keys, ok, coverage, calls, duration).
+def split_recovery(parts: DataFrame, keys: list[str], first_calls: str = "calls_before", cfg: SynthConfig = CFG, carry: str | None = None) -> DataFrame:
+    """Failed chunks tried sentence by sentence: (keys, ok, coverage, calls, duration), and of the column to carry the value that isn't null.
 
     parts: keys, sentence_no from 0, n_sentences, ok, calls, coverage, duration and the
     calls that the whole chunk took.  Sentences after the first failure never happened.
@@ -124,7 +132,8 @@ def split_recovery(parts: DataFrame, keys: list[str], first_calls: str = "calls_
         failed.alias("failed_at"),
         F.max("n_sentences").alias("n_sentences"),
         F.max(first_calls).alias("before"),
-        F.collect_list(F.struct("sentence_no", "calls", "coverage", "duration")).alias("all"),
+        F.sort_array(F.collect_list(F.struct("sentence_no", "calls", "coverage", "duration"))).alias("all"),
+        *([F.first(carry, ignorenulls=True).alias(carry)] if carry else []),
     )
     seen = F.filter("all", lambda x: F.col("failed_at").isNull() | (x["sentence_no"] <= F.col("failed_at")))
     one = one.withColumn("seen", seen)
@@ -136,6 +145,7 @@ def split_recovery(parts: DataFrame, keys: list[str], first_calls: str = "calls_
         F.when(ok, F.array_min(F.transform("seen", lambda x: x["coverage"]))).otherwise(0.0).alias("coverage"),
         (F.col("before") + total("calls", "bigint")).alias("calls"),
         F.when(ok, total("duration", "double") + F.lit(cfg.sentence_gap_s) * (F.col("n_sentences") - 1)).alias("duration"),
+        *([carry] if carry else []),
     )
 
 

@@ -24,57 +24,84 @@ def no_failure() -> Column:
     return F.lit("none")
 
 
-def attempted(chunks: DataFrame, lang: T.Lang, failure: Column, cfg: RenderConfig) -> DataFrame:
-    """Attempts with their verdicts; only those that pass the cheap checks are scored."""
-    rows = L.attempts(chunks, failure, cfg.synth)
-    rows = rows.withColumn("transcript", F.when(F.col("cheap_ok"), L.fake_transcript(F.col("spoken"))))
-    # an unchanged transcript needs no alignment: the UDF gets null for it and for failed attempts
-    same = F.coalesce(F.col("transcript") == F.col("text"), F.lit(False)) & (F.size(T.content_words(F.col("text"), lang)) == F.size(T.tokens(F.col("text"), lang)))
-    detail = S.scorer(cfg.synth.lexicon)(F.when(same, None).otherwise(F.col("text")), F.col("transcript"), T._lang(lang))
-    rows = rows.withColumn("detail", detail)
-    full = F.struct(F.lit(1.0).alias("score"), F.lit("").alias("worst_sentence"), F.array().cast("array<string>").alias("word_diagnostics"))
-    rows = rows.withColumn("detail", F.when(same, full).otherwise(F.col("detail")))
-    rows = rows.withColumn("verdict", S.verdict(F.col("detail"), F.col("transcript")))
-    return rows.withColumn("ok", F.col("verdict.ok") & F.col("cheap_ok")).withColumn("coverage", F.when(F.col("cheap_ok"), F.col("verdict.coverage")).otherwise(0.0))
+def laddered(chunks: DataFrame, lang: T.Lang, failure: Column, cfg: RenderConfig) -> DataFrame:
+    """chunks with the column ladder: (chosen, ok, prior_failures, calls, coverage, duration, verdict) of each text's attempts.
+
+    The attempts of a row are columns of it, so that nothing is exchanged or read twice.  They
+    are scored in turn up to the first that is ok, since later ones have no part in the outcome.
+    """
+    numbers = range(1, cfg.synth.max_attempts + 1)
+    rows = chunks.withColumn("_words", T.word_count(F.col("text")))
+    for n in numbers:
+        rows = rows.withColumn("n", F.lit(n)).withColumn(f"_failure{n}", failure)
+    rows = rows.withColumns({f"_spoken{n}": L.spoken_by_fake(F.col("text"), F.col(f"_failure{n}")) for n in numbers})
+    rows = rows.withColumns({f"_made{n}": L.cheap_checks(F.col("_words"), F.col(f"_spoken{n}"), F.col(f"_failure{n}"), cfg.synth) for n in numbers})
+    heard = [F.when(F.col(f"_made{n}.cheap_ok"), L.fake_transcript(F.col(f"_spoken{n}"))) for n in numbers]
+    rows = rows.withColumn("_heard", F.array(*heard)).withColumn("_raised", F.array(*(F.col(f"_made{n}.raised") for n in numbers)))
+    rows = rows.withColumn("_best", S.ladder_scorer(cfg.synth.lexicon)(F.col("text"), F.col("_heard"), F.col("_raised"), T._lang(lang)))
+    best = F.col("_best")
+    verdict = S.verdict(best, F.get("_heard", best["chosen"] - 1))
+    outcome = F.struct(
+        best["chosen"].alias("chosen"),
+        best["ok"].alias("ok"),
+        F.when(best["chosen"].isNull(), 0).otherwise(best["chosen"] - 1).alias("prior_failures"),  # those before the chosen one failed
+        F.when(best["ok"], best["chosen"]).otherwise(cfg.synth.max_attempts).alias("calls"),
+        F.coalesce(best["score"], F.lit(0.0)).alias("coverage"),
+        F.get(F.array(*(F.col(f"_made{n}.duration") for n in numbers)), best["chosen"] - 1).alias("duration"),
+        F.when(best["chosen"].isNotNull(), verdict).alias("verdict"),
+    )
+    return rows.select(*chunks.columns, F.when(F.col("text").isNotNull(), outcome).alias("ladder"))
 
 
 def rendered(chunks: DataFrame, lang: T.Lang = "en", failure: Column | None = None, cfg: RenderConfig = RenderConfig()) -> DataFrame:
     """The result of every chunk (script_id, chunk_idx, text): the ladder, then sentence by sentence.
 
     A failure column may use the columns of chunks, ``n`` and, for sentences, ``sentence_no``
-    (-1 for whole chunks).
+    (-1 for whole chunks).  The chunks are read once.
     """
     fails = F.lit("none") if failure is None else failure
     keys = ["script_id", "chunk_idx"]
-    chunks = chunks.repartition(*keys)  # a few long scripts shouldn't be a few tasks; later groupings and joins keep it
-    whole = attempted(chunks.withColumn("sentence_no", F.lit(-1)), lang, fails, cfg)
-    picked = L.outcome(L.ladder(whole, keys, cfg.synth))
-    shown = whole.select(*keys, F.col("n").alias("chosen"), "duration", "verdict", "text")
-    picked = chunks.select(*keys, "text").join(picked, keys).join(shown.drop("text"), [*keys, "chosen"], "left")
-    result = picked.select(*keys, "text", "ok", F.col("calls").cast("bigint").alias("attempts"), "coverage", F.coalesce("duration", F.lit(0.0)).alias("duration_s"), "recovered_by", F.coalesce("verdict.dropped_sentence", F.col("text")).alias("dropped_sentence"), F.coalesce("verdict.transcript", F.lit("")).alias("transcript"), F.coalesce("verdict.word_diagnostics", F.array().cast("array<string>")).alias("word_diagnostics"), F.lit(False).alias("reused"))
-    if not cfg.synth.split_sentences:
-        return result
-    failed = result.where("not ok").select(*keys, F.col("attempts").alias("calls_before"), T.sentences(F.col("text")).alias("s"))
-    parts = failed.where("size(s) >= 2").select(*keys, "calls_before", F.size("s").alias("n_sentences"), F.posexplode("s").alias("sentence_no", "text"))
-    tried = attempted(parts, lang, fails, cfg)
-    one = L.ladder(tried, [*keys, "sentence_no"], cfg.synth).join(tried.select(*keys, "sentence_no", F.col("n").alias("chosen"), "duration"), [*keys, "sentence_no", "chosen"], "left")
-    one = one.join(parts.drop("text"), [*keys, "sentence_no"])
-    split = L.split_recovery(one, keys, cfg=cfg.synth).select(*keys, F.col("ok").alias("s_ok"), F.col("coverage").alias("s_coverage"), F.col("calls").alias("s_calls"), F.col("duration").alias("s_duration"))
-    both = result.join(split, keys, "left")
-    won = F.coalesce(F.col("s_ok"), F.lit(False))
     nothing = F.array().cast("array<string>")
+    chunks = chunks.repartition(*keys)  # a few long scripts shouldn't be a few tasks
+    whole = L.outcome(laddered(chunks.withColumn("sentence_no", F.lit(-1)), lang, fails, cfg).select("*", "ladder.ok", "ladder.prior_failures"))
+    verdict = F.col("ladder.verdict")
+    result = whole.select(
+        *chunks.columns,
+        F.coalesce("ok", F.lit(False)).alias("ok"),
+        F.coalesce("ladder.calls", F.lit(cfg.synth.max_attempts)).cast("bigint").alias("attempts"),
+        F.coalesce("ladder.coverage", F.lit(0.0)).alias("coverage"),
+        F.coalesce("ladder.duration", F.lit(0.0)).alias("duration_s"),
+        "recovered_by",
+        F.coalesce(verdict["dropped_sentence"], F.col("text")).alias("dropped_sentence"),
+        F.coalesce(verdict["transcript"], F.lit("")).alias("transcript"),
+        F.coalesce(verdict["word_diagnostics"], nothing).alias("word_diagnostics"),
+        F.lit(False).alias("reused"),
+    )
+    names = [*keys, "text", "ok", "attempts", "coverage", "duration_s", "recovered_by", "dropped_sentence", "transcript", "word_diagnostics", "reused"]
+    if not cfg.synth.split_sentences:
+        return result.select(*names)
+    # a row for each sentence of what failed and one for each other chunk; the first row of a chunk holds its result
+    cut = result.withColumn("_cut", F.when(~F.col("ok"), T.sentences(F.col("text")))).withColumn("_cut", F.when(F.size("_cut") >= 2, F.col("_cut")))
+    held = F.struct(*(F.col(n) for n in names[2:]))
+    cut = cut.select(*(c for c in chunks.columns if c != "text"), held.alias("_result"), F.size("_cut").alias("n_sentences"), "_cut")
+    parts = cut.select(*(c for c in cut.columns if c not in ("_cut", "_result")), "_result", F.posexplode_outer("_cut").alias("sentence_no", "text"))
+    parts = parts.withColumn("n_sentences", F.when(F.col("text").isNotNull(), F.col("n_sentences"))).withColumn("calls_before", F.when(F.col("text").isNotNull(), F.col("_result.attempts")))
+    parts = parts.withColumn("_result", F.when(F.coalesce("sentence_no", F.lit(0)) == 0, F.col("_result")))
+    tried = laddered(parts, lang, fails, cfg).select(*keys, "_result", "sentence_no", "n_sentences", "calls_before", "ladder.ok", "ladder.calls", "ladder.coverage", "ladder.duration")
+    both = L.split_recovery(tried, keys, cfg=cfg.synth, carry="_result")
+    own, won = F.col("_result"), F.coalesce(F.col("ok"), F.lit(False))
     return both.select(
         *keys,
-        "text",
-        (F.col("ok") | won).alias("ok"),
-        F.coalesce("s_calls", "attempts").alias("attempts"),
-        F.when(won, F.col("s_coverage")).otherwise(F.col("coverage")).alias("coverage"),
-        F.when(won, F.col("s_duration")).otherwise(F.col("duration_s")).alias("duration_s"),
-        F.when(won, "sentence-split").otherwise(F.col("recovered_by")).alias("recovered_by"),
-        F.when(won, "").otherwise(F.col("dropped_sentence")).alias("dropped_sentence"),
-        F.when(won, "").otherwise(F.col("transcript")).alias("transcript"),
-        F.when(won, nothing).otherwise(F.col("word_diagnostics")).alias("word_diagnostics"),
-        "reused",
+        own["text"].alias("text"),
+        (own["ok"] | won).alias("ok"),
+        F.coalesce(F.col("calls"), own["attempts"]).alias("attempts"),
+        F.when(won, F.col("coverage")).otherwise(own["coverage"]).alias("coverage"),
+        F.when(won, F.col("duration")).otherwise(own["duration_s"]).alias("duration_s"),
+        F.when(won, "sentence-split").otherwise(own["recovered_by"]).alias("recovered_by"),
+        F.when(won, "").otherwise(own["dropped_sentence"]).alias("dropped_sentence"),
+        F.when(won, "").otherwise(own["transcript"]).alias("transcript"),
+        F.when(won, nothing).otherwise(own["word_diagnostics"]).alias("word_diagnostics"),
+        own["reused"].alias("reused"),
     )
 
 

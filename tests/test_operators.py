@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -108,6 +109,15 @@ def test_render_recovers(spark, failure, ok, attempts, recovered):
     assert (got[0]["ok"], got[0]["attempts"], got[0]["recovered_by"]) == (ok, attempts, recovered)
 
 
+def test_render_reads_its_chunks_once(spark):
+    texts = [SCRIPT, "Rest now.", "", SCRIPT + " It goes out at dawn."]
+    rows = P.rendered(_chunks(spark, texts), "en", F.expr("if(sentence_no < 0, if(chunk_idx = 3, 'raise', 'truncate'), if(sentence_no = 2, 'raise', 'none'))"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and len(re.findall(r"\bScan\b", plan)) == 1 and plan.count("ArrowEvalPython") <= 2
+    got = {r["chunk_idx"]: (r["ok"], r["attempts"], r["recovered_by"], r["dropped_sentence"]) for r in rows.collect()}
+    assert got[0] == (True, 5, "sentence-split", "") and got[3] == (False, 3 + 1 + 1 + 3, "", texts[3]) and len(got) == 4
+
+
 def test_store_is_reused_and_an_edit_costs_one_chunk(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path / "c"))
     store = str(tmp_path / "takes")
