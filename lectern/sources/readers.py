@@ -83,11 +83,11 @@ def inputs(spark: SparkSession, folder: str, prefix: str | None = None, max_char
     return rows.where(F.length("text") <= max_chars), rows.where(F.length("text") > max_chars).count()
 
 
-def report_rows(spark: SparkSession, path: str, limit: int | None = None, extra: str = "") -> DataFrame:
-    """Results of JSON reports; with a limit the first that failed with a transcript.  extra: more fields of a result, as name and type."""
+def report_rows(spark: SparkSession, path: str, limit: int | None = None, extra: str = "", lines: bool = False) -> DataFrame:
+    """Results of JSON reports; with a limit the first that failed with a transcript.  extra: more fields of a result, as name and type; lines: a report on each line of the files, not one over a whole file."""
     more = "".join(f", {f.strip().replace(' ', ':', 1)}" for f in extra.split(",") if f.strip())
     schema = f"results array<struct<i:int, text:string, ok:boolean, coverage:double, transcript:string{more}>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("results").alias("r")).select("r.*")
+    rows = spark.read.schema(schema).json(path, multiLine=not lines).select(F.explode("results").alias("r")).select("r.*")
     return rows if limit is None else rows.where("not ok and transcript <> ''").orderBy("i").limit(limit)
 
 

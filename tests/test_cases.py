@@ -73,3 +73,10 @@ def test_filters_give_the_same_bits_narrow_or_wide():
     x = np.random.default_rng(2).standard_normal((300, 40))
     wide = A.biquad(x, *A.shelf(4000))
     assert all(np.array_equal(wide[:, k], A.biquad(x[:, k : k + 1], *A.shelf(4000))[:, 0]) for k in range(40))
+
+
+def test_reports_are_few_files(spark, tmp_path):
+    rows = [(k // 3, k % 3, "user", f"turn {k}\nof many" if k % 7 else "") for k in range(900)]
+    _same(spark, tmp_path, "rejected_of_reports", "conversations", rows, "conv_id long, turn int, role string, text string")
+    files = entry.queries()["rejected_of_reports"](spark, str(tmp_path)).inputFiles()
+    assert len(files) <= 8  # was one for each of the 300 conversations
