@@ -6,6 +6,8 @@ same as a native fold, for texts without a sentence above the limit.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from ..functions.scoring import cut_sentences
 from .config import MAX_CHARS
 
 MIN_WORDS = 3
+#: Texts whose chunks are held at once.
+AT_ONCE = 256
 REACH = 60
 _MARKS = {1.0: (". ", "! ", "? "), 0.9: (": ", "; "), 0.8: (", ",), 0.7: (") ", "] ", " — ", " – ", " - "), 0.5: (" ",)}
 
@@ -70,12 +74,19 @@ def chunks(text: str, limit: int = MAX_CHARS) -> list[str]:
     return out
 
 
+def chunked(parts: Iterable[pd.Series], limit: int = MAX_CHARS) -> Iterator[pd.Series]:
+    """Chunks of batches of texts, a few texts at once."""
+    for texts in parts:
+        for at in range(0, len(texts), AT_ONCE):
+            yield texts.iloc[at : at + AT_ONCE].map(lambda t: chunks(t, limit), na_action="ignore")
+
+
 def chunk_text(text: Column, limit: int = MAX_CHARS) -> Column:
     """Chunks of a text as an array."""
 
     @F.pandas_udf(ArrayType(StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunks(t, limit), na_action="ignore")
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from chunked(parts, limit)
 
     return cut(text)
 

@@ -5,11 +5,13 @@ import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lectern.operators import audio as A
 from lectern.operators import report as R
+from lectern.operators import segment as G
 from lectern.operators.config import MasterConfig
 
 
@@ -80,3 +82,10 @@ def test_reports_are_few_files(spark, tmp_path):
     _same(spark, tmp_path, "rejected_of_reports", "conversations", rows, "conv_id long, turn int, role string, text string")
     files = entry.queries()["rejected_of_reports"](spark, str(tmp_path)).inputFiles()
     assert len(files) <= 8  # was one for each of the 300 conversations
+
+
+def test_chunks_of_a_batch_are_made_a_few_texts_at_once():
+    texts = [f"Text {k} is short. So it is." if k % 5 else None for k in range(1000)]
+    out = [*G.chunked([pd.Series(texts), pd.Series([], dtype=object)])]
+    assert max(map(len, out)) <= G.AT_ONCE and len(out) >= 3
+    assert [c for part in out for c in part] == [None if t is None else G.chunks(t) for t in texts]
